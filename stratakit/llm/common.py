@@ -45,7 +45,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 def planned_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of the input's size, without a job; it scales bucket counts, never results."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def buckets_for(df: DataFrame, bytes_each: int, least: int = 16) -> int:
