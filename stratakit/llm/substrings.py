@@ -73,19 +73,32 @@ class _Bucket:
     def pack(self) -> bytes:
         body = b"\n".join(self.text)
         head = struct.pack("<III", len(self.doc), len(self.settled), len(body))
-        raw = b"".join((head, np.array(self.doc, "<i8").tobytes(), np.array(self.tag, "<i8").tobytes(), np.array(self.at, "<i4").tobytes(), np.array(self.settled, "<i8").tobytes(), body))
+        doc = np.array(self.doc, "<i8")
+        # neighbours have near doc_ids: differences, byte by byte, leave planes of zeros
+        raw = b"".join((head, planes(np.diff(doc, prepend=np.int64(0))), planes(np.array(self.tag, "<i4")), planes(np.array(self.at, "<i4")), planes(np.array(self.settled, "<i8").reshape(-1)), body))
         return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """First all lowest bytes, then all second ones, and so on."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() if len(x) else b""
+
+
+def unplaned(raw: bytes, kind: str, n: int, at: int) -> tuple[np.ndarray, int]:
+    size = np.dtype(kind).itemsize
+    flat = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+    return np.ascontiguousarray(flat.T).view(kind).reshape(n), at + n * size
+
+
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, settled, size = struct.unpack_from("<III", raw)
-    doc = np.frombuffer(raw, "<i8", n, 12)
-    tag = np.frombuffer(raw, "<i8", n, 12 + 8 * n)
-    at = np.frombuffer(raw, "<i4", n, 12 + 16 * n)
-    done = np.frombuffer(raw, "<i8", 4 * settled, 12 + 20 * n).reshape(-1, 4)
+    doc, at = unplaned(raw, "<i8", n, 12)
+    tag, at = unplaned(raw, "<i4", n, at)
+    place, at = unplaned(raw, "<i4", n, at)
+    done, at = unplaned(raw, "<i8", 4 * settled, at)
     body = raw[len(raw) - size:]
-    return doc, tag, at, done, body.split(b"\n") if n else []
+    return np.cumsum(doc), tag.astype(np.int64), place, done.reshape(-1, 4), body.split(b"\n") if n else []
 
 
 def _scatter(batches: Iterator[pa.RecordBatch], window: int, m: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -208,12 +221,17 @@ def _gather(bucket: pa.Table, window: int) -> pa.Table:
     return pa.table({"doc_id": pa.array(doc[lot], pa.int64()), "tag": pa.array(tag[lot], pa.int64()), "spans": pa.array(spans, pa.binary())})
 
 
-def repeated_spans(docs: DataFrame, window: int = 13, m: int = 4) -> DataFrame:
-    """(doc_id, tag, spans): word spans to remove, as little-endian int32 pairs; ``tag`` is xxhash64 of the text.
+def tag_of_text():
+    """32 bits of the text's hash, which tell apart rows that share a doc_id but not a text."""
+    return F.hash("text").cast("long").alias("tag")
+
+
+def repeated_spans(docs: DataFrame, window: int = 13, m: int = 3) -> DataFrame:
+    """(doc_id, tag, spans): word spans to remove, as little-endian int32 pairs; ``tag`` is a hash of the text.
 
     The number of buckets grows with the input, so that a bucket's size does not.
     """
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.col("text").cast("binary").alias("text"))
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), tag_of_text(), F.col("text").cast("binary").alias("text"))
     buckets = buckets_for(rows, 2 << 20, 64)
     sent = rows.mapInArrow(lambda it: _scatter(it, window, m, buckets), "bucket int, blob binary")
     return sent.groupBy("bucket").applyInArrow(lambda t: _gather(t, window), "doc_id long, tag long, spans binary")
@@ -239,7 +257,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
-def without_repeats(docs: DataFrame, window: int = 13, m: int = 4) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 13, m: int = 3) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text): each text without words that a window of ``window`` words covers
     whose words also start in a document with a smaller doc_id. Windows are judged on the input.
 
@@ -249,7 +267,7 @@ def without_repeats(docs: DataFrame, window: int = 13, m: int = 4) -> DataFrame:
     """
     spans = repeated_spans(docs, window, m).groupBy("doc_id", "tag").agg(F.collect_list("spans").alias("spans"))
     spans = spans.select(F.col("doc_id").alias("__d"), F.col("tag").alias("__t"), "spans")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tag"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", tag_of_text())
     joined = rows.join(spans, (F.col("doc_id") == F.col("__d")) & (F.col("tag") == F.col("__t")), "left")
     cut = joined.select("doc_id", F.col("text").cast("binary").alias("text"), "spans").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept binary")
     return cut.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"))
