@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakit.llm import language, mixing, quality, secrets, sentencepieces, sharding, substrings
+from stratakit.llm import language, licenses, mixing, quality, secrets, sentencepieces, sharding, substrings, vectors
 from stratakit.llm.common import table
 from stratakit.llm.simhash import simhash_components
 
@@ -26,6 +26,12 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_matches(table(spark, sf_dir, "documents"), licenses.Templates())
+    names = F.array_sort(F.array_distinct(F.col("matches.license")))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licenses"), F.array_max("matches.containment").alias("containment"))
+
+
 def op5_label_propagation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -49,6 +55,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.embedding_components(table(spark, sf_dir, "embeddings"), least=0.98)
+    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secrets.scan(docs, secrets.fit(docs))
@@ -59,14 +70,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_coding": op1_sentencepiece_coding,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_source_mixing": op3_source_mixing,
+    "op4_license_scan": op4_license_scan,
     "op5_label_propagation_sharding": op5_label_propagation_sharding,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_crf_quality": op7_crf_quality,
     "op8_language_id": op8_language_id,
+    "op9_hnsw_dedup": op9_hnsw_dedup,
     "op10_secret_scan": op10_secret_scan,
 }
 
 SQL: dict[str, str] = {
     "op2_substring_dedup": substrings.SQL,
     "op3_source_mixing": mixing.SQL,
+    "op9_hnsw_dedup": vectors.SQL,
 }
