@@ -89,17 +89,14 @@ def mix_rows(docs: DataFrame, **options) -> DataFrame:
     """
     plan = mixed(docs, **options)
     whole = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies") + F.when(2 * F.col("part") >= F.col("size"), 1).otherwise(0))
-    # rows that share a doc_id and size are alike to the plan: they share the repetitions they get
-    times = plan.groupBy(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z")).agg(F.sum(whole).alias("__t"), F.count(F.lit(1)).alias("__n"))
+    # rows that share a doc_id, source and size are alike to the plan: they share the repetitions they get
+    key = lambda size: F.concat_ws(":", size, F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-")))
+    times = plan.groupBy(key(F.col("size")).alias("__key")).agg(F.sum(whole).alias("__t"), F.count(F.lit(1)).alias("__n"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    on = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z"))
-    rows = docs.withColumn("__size", size).join(times, on)
-    alike = Window.partitionBy("doc_id", "source", "__size").orderBy("__t")
-    single = rows.where("__n = 1").withColumn("__own", F.col("__t"))
-    several = rows.where("__n > 1").withColumn("__r", F.row_number().over(alike))
-    several = several.withColumn("__own", F.expr("__t div __n") + F.when(F.col("__r") <= F.col("__t") % F.col("__n"), 1).otherwise(0)).drop("__r")
-    every = single.unionByName(several)
-    again = every.where("__own > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__own").cast("int"))))
+    rows = docs.withColumn("__key", key(size)).join(times, "__key")
+    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__key").orderBy("__key")))
+    own = F.expr("cast(__t div __n as int)") + F.when(F.col("__r") <= F.col("__t") % F.col("__n"), 1).otherwise(0)
+    again = rows.withColumn("__own", own).where("__own > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__own"))))
     return again.select(*docs.columns)
 
 

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -282,11 +283,11 @@ def _by_size(values: list[str | None], pieces: Pieces) -> Iterator[bytes | None]
             lot, held = [], 0
 
 
-def encode(docs: DataFrame, pieces: Pieces, keep: list[str] = ("doc_id",)) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` and ids (array of int). Null text gives null ids, empty text none."""
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
     rows = docs.select(*keep, F.col("text").alias("ids"))
-    schema = docs.select(*keep).schema.add("ids", "array<int>")
+    schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,7 +301,7 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str] = ("doc_id",)) -> Da
     return rows.mapInArrow(coded, schema)
 
 
-def decode(tokens: DataFrame, pieces: Pieces, keep: list[str] = ("doc_id",)) -> DataFrame:
+def decode(tokens: DataFrame, pieces: Pieces, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` and text, from ids. Null ids give null; bytes that are no UTF-8 become replacement marks."""
     sent = tokens.sparkSession.sparkContext.broadcast(pieces)
     schema = tokens.select(*keep).schema.add("text", "string")
