@@ -167,7 +167,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return rows.mapInArrow(predicted, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float = 0.3) -> DataFrame:
+def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float = 0.05) -> DataFrame:
     """The rows of ``docs`` whose language is found with ``least_score``; ``und`` and doubtful texts go. All columns stay."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
