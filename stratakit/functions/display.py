@@ -19,7 +19,8 @@ def compact_text(text: Column, most: int = 72) -> Column:
 
 
 def byte_text(size: Column) -> Column:
-    unit = lambda power, name: F.format_string(f"%.1f {name}", size / F.lit(float(1024**power)))
+    # ties go to the even digit; the formatter alone would round them up
+    unit = lambda power, name: F.format_string(f"%.1f {name}", F.bround(size / F.lit(float(1024**power)), 1))
     return F.when(size < 1024, F.format_string("%d B", size)).when(size < 1024**2, unit(1, "KB")).when(size < 1024**3, unit(2, "MB")).otherwise(unit(3, "GB"))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stratakit.plans import joins, relations
+from stratakit.plans import aggregates, columns, joins, relations
 from stratakit.plans.registry import QUERIES, oracle_sql
 
 SQL = oracle_sql()
 
-__all__ = ["QUERIES", "SQL", "joins", "relations"]
+__all__ = ["QUERIES", "SQL", "aggregates", "columns", "joins", "relations"]
