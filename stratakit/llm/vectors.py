@@ -246,9 +246,11 @@ def embedding_components(rows: DataFrame, least: float = 0.98, recall: float = 0
     shards = classes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)).cast("int").alias("shards"))
     dealt = classes.join(shards, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
     dealt = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("home", F.col("shard") == F.col("own"))
-    asked = dealt.where("home or shards > 1").select("label", "dim", "shard", "node", "size", "home", "v")
+    # one key for all three, else the join's partitioning by label would bring a label's shards into one task
+    key = F.concat_ws(":", F.col("dim"), F.col("shard"), F.col("label").cast("string")).alias("key")
+    asked = dealt.where("home or shards > 1").select(key, "node", "size", "home", "v")
     # a shard that got no node of its own has no graph to ask
-    found = checkpointed(asked.groupBy("label", "dim", "shard").applyInArrow(lambda t: _shard(t, least, recall) if any(t.column("home").to_pylist()) else EMPTY, "node long, n long, a long, b long"))
+    found = checkpointed(asked.groupBy("key").applyInArrow(lambda t: _shard(t, least, recall) if any(t.column("home").to_pylist()) else EMPTY, "node long, n long, a long, b long"))
     links = found.where("node is not null").groupBy("node").agg(F.sum("n").alias("others"))
     component = connected_components(found.where("a is not null").select("a", "b"))
     named = classes.select("label", "v", "node", "size").join(links, "node", "left").join(component, "node", "left")
