@@ -152,3 +152,18 @@ def license_matches(docs: DataFrame, templates: Templates) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, kind)], ["doc_id", "matches"])
 
     return rows.mapInArrow(scanned, "doc_id long, matches array<struct<license: string, first_word: long, end_word: long, containment: double>>")
+
+
+def sql(texts: dict[str, str] = TEMPLATES) -> str:
+    """The same scan in DuckDB without bands: every shingle of every document against those of all templates."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(n)}, {quoted(b' '.join(plain_words(t.encode())).decode())})" for n, t in sorted(texts.items()))
+    return rf"""
+WITH templates AS (SELECT license, string_split(words, ' ') AS w FROM (VALUES {rows}) AS t(license, words)),
+  wanted AS (SELECT DISTINCT license, array_to_string(w[i:i + 4], ' ') AS shingle FROM templates, unnest(range(1, len(w) - 3)) AS u(i)),
+  sizes AS (SELECT license, count(*) AS n FROM wanted GROUP BY 1),
+  texts AS (SELECT doc_id, coalesce(regexp_extract_all(lower(regexp_replace(text, '[!-/:-@\[-`{{-~]', '', 'g')), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+  shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle FROM texts, unnest(range(1, len(w) - 3)) AS u(i)),
+  shares AS (SELECT doc_id, license, count(*) / CAST(any_value(n) AS DOUBLE) AS share FROM shingles JOIN wanted USING (shingle) JOIN sizes USING (license) GROUP BY 1, 2),
+  found AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS licenses, max(share) AS containment FROM shares WHERE share >= 0.8 GROUP BY 1)
+SELECT doc_id, coalesce(licenses, '') AS licenses, containment FROM documents LEFT JOIN found USING (doc_id)"""
