@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -43,6 +44,21 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+BATCH_BYTES = 4 << 20
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the bytes of an Arrow batch in its session: long texts then need no more memory than short ones.
+
+    The limit is on bytes, so it drops nothing; a limit that is lower already stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = re.fullmatch(r"(\d+)([bkmg]?)b?", conf.get(key, "64m").lower())
+    if held and int(held[1]) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[held[2]] > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def planned_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of the input's size, without a job; it scales bucket counts, never results."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

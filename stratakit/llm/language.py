@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratakit.llm.common import sample_rows
+from stratakit.llm.common import lean, sample_rows
 
 #: Language -> family; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -157,7 +157,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: a weight for each trigram and pair of languages
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(letter, F.col("text").cast("binary")).alias("text"))
+    rows = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.when(letter, F.col("text").cast("binary")).alias("text"))
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,5 +178,5 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float =
         return pd.Series([sent.value.predict(bytes(x))[1] if x is not None else 0.0 for x in texts], dtype=float)
 
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    judged = docs.withColumn("__score", score(F.when(letter, F.col("text").cast("binary"))))
+    judged = lean(docs).withColumn("__score", score(F.when(letter, F.col("text").cast("binary"))))
     return judged.where(F.col("__score") >= least_score).select(*docs.columns)

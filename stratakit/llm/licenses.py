@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratakit.llm.common import lean
 from stratakit.llm.substrings import WordHashes, hashed, rolled, sliding_min
 
 # Public licence notices, as authors put them at the head of a text.
@@ -142,7 +143,7 @@ def license_matches(docs: DataFrame, templates: Templates) -> DataFrame:
     dropped. Null, empty and short texts have no match; repeated rows are repeated; other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(templates)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     kind = pa.list_(pa.struct([("license", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("containment", pa.float64())]))
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakit.llm.common import sample_rows
+from stratakit.llm.common import lean, sample_rows
 from stratakit.llm.substrings import MIX, rolled
 
 SPACE = b" \t\n\r\x0b\x0c"
@@ -202,7 +202,7 @@ def quality_rules(docs: DataFrame, crf: LineCRF, least_share: float = 0.5) -> Da
     Null text counts as empty: no words, so base_failed. Texts are judged whole; repeated rows are repeated.
     """
     sent = docs.sparkSession.sparkContext.broadcast(crf)  # a weight for each feature
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content_share", "base_failed", "kept"]
     kinds = [pa.int64()] * 5 + [pa.float64(), pa.bool_(), pa.bool_()]
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakit.llm.common import sample_rows
+from stratakit.llm.common import lean, sample_rows
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -163,7 +163,7 @@ def scan(docs: DataFrame, model: SecretModel | None) -> DataFrame:
     Null text counts as empty. Repeated rows are repeated. Texts are scanned whole; other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two tables of fixed size
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +199,7 @@ def redact(docs: DataFrame, model: SecretModel | None) -> DataFrame:
         return pd.Series([None if x is None else redacted(bytes(x), sent.value).decode("utf-8", "replace") for x in texts], dtype=object)
 
     columns = [c for c in docs.columns]
-    cleaned = docs.withColumn("text", clean(F.col("text").cast("binary")))
+    cleaned = lean(docs).withColumn("text", clean(F.col("text").cast("binary")))
     if "n_chars" in columns:
         cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
     return cleaned.select(*columns)

@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratakit.llm.common import lean
+
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
-CACHED = 400_000  # chunks of text that a worker remembers
+CACHED = 250_000  # chunks of text that a worker remembers
 CACHED_LENGTH = 48
 LOT = 1 << 20
 
@@ -270,33 +272,38 @@ def load(path: str = DEFAULT_MODEL) -> Pieces:
     return Pieces(read_pieces(path))
 
 
-def _by_size(values: list[str | None], pieces: Pieces) -> Iterator[bytes | None]:
-    """Encoded texts in order, searched in lots of about a megabyte."""
+def _lots(values: pa.Array, pieces: Pieces) -> Iterator[tuple[int, list[bytes | None]]]:
+    """(number of the first, encoded texts), in lots of about a megabyte: what is held at once is bounded by a lot."""
     lot: list[str | None] = []
     held = 0
     for k, x in enumerate(values):
-        lot.append(x)
-        held += len(x or "")
+        lot.append(x.as_py())
+        held += len(lot[-1] or "")
         if held >= LOT or k == len(values) - 1:
             got = iter(pieces.encode_many([t for t in lot if t is not None]))
-            yield from (None if t is None else next(got) for t in lot)
+            yield k + 1 - len(lot), [None if t is None else next(got) for t in lot]
             lot, held = [], 0
 
 
+def _by_size(values: pa.Array, pieces: Pieces) -> Iterator[bytes | None]:
+    for _, lot in _lots(values, pieces):
+        yield from lot
+
+
 def encode(docs: DataFrame, pieces: Pieces, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` and ids (array of int). Null text gives null ids, empty text none."""
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
-    rows = docs.select(*keep, F.col("text").alias("ids"))
+    rows = lean(docs).select(*keep, F.col("text").alias("ids"))
     schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = list(_by_size(batch.column(len(keep)).to_pylist(), sent.value))
-            ends = np.cumsum([0] + [len(x) // 4 if x else 0 for x in packed])
-            gone = pa.array([x is None for x in packed])
-            flat = pa.array(np.frombuffer(b"".join(x or b"" for x in packed), "<i4"))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=gone)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], ids], [*batch.schema.names[:len(keep)], "ids"])
+            for first, packed in _lots(batch.column(len(keep)), sent.value):
+                ends = np.cumsum([0] + [len(x) // 4 if x else 0 for x in packed])
+                flat = pa.array(np.frombuffer(b"".join(x or b"" for x in packed), "<i4"))
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array([x is None for x in packed]))
+                own = [c.slice(first, len(packed)) for c in batch.columns[:len(keep)]]
+                yield pa.RecordBatch.from_arrays([*own, ids], [*batch.schema.names[:len(keep)], "ids"])
 
     return rows.mapInArrow(coded, schema)
 
@@ -311,7 +318,7 @@ def decode(tokens: DataFrame, pieces: Pieces, keep: tuple[str, ...] = ("doc_id",
             texts = [None if not x.is_valid else sent.value.decode(np.array(x.as_py(), "<i4").tobytes()).decode("utf-8", "replace") for x in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(texts, pa.string())], [*batch.schema.names[:len(keep)], "text"])
 
-    return tokens.select(*keep, "ids").mapInArrow(spelled, schema)
+    return lean(tokens).select(*keep, "ids").mapInArrow(spelled, schema)
 
 
 def round_trip(docs: DataFrame, pieces: Pieces) -> DataFrame:
@@ -321,12 +328,12 @@ def round_trip(docs: DataFrame, pieces: Pieces) -> DataFrame:
     pieces, and null digests. Texts are coded whole; repeated rows are repeated.
     """
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = []
-            for ids in _by_size(batch.column(1).to_pylist(), sent.value):
+            for ids in _by_size(batch.column(1), sent.value):
                 if ids is None:
                     got.append((0, 0, None, None))
                     continue

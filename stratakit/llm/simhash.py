@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakit.llm.common import checkpointed
+from stratakit.llm.common import checkpointed, lean
 from stratakit.llm.components import Forest, connected_components
 
 SEED = 42
@@ -47,7 +47,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, fp): one row per row of ``docs``; ``fp`` holds the 64 bits as a signed long. Null text: 0."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(lambda it: _fingerprints(it, shingle), "doc_id long, fp long")
 
 

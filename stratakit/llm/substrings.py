@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakit.llm.common import buckets_for
+from stratakit.llm.common import buckets_for, lean
 
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 CHUNK = 8 << 20  # bytes of text whose super-k-mers are packed together
@@ -231,7 +231,7 @@ def repeated_spans(docs: DataFrame, window: int = 13, m: int = 3) -> DataFrame:
 
     The number of buckets grows with the input, so that a bucket's size does not.
     """
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), tag_of_text(), F.col("text").cast("binary").alias("text"))
+    rows = lean(docs).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), tag_of_text(), F.col("text").cast("binary").alias("text"))
     buckets = buckets_for(rows, 2 << 20, 64)
     sent = rows.mapInArrow(lambda it: _scatter(it, window, m, buckets), "bucket int, blob binary")
     return sent.groupBy("bucket").applyInArrow(lambda t: _gather(t, window), "doc_id long, tag long, spans binary")
