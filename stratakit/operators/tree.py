@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratakit.functions.paths import ancestors, base_name
-from stratakit.operators.common import settled, total
+from stratakit.operators.common import numbered_all, settled, total
 
 TYPES = ("added", "modified", "deleted")
 
@@ -88,8 +88,8 @@ def flattened(rows: DataFrame, open_folders: DataFrame) -> DataFrame:
 
 
 def positions(flat: DataFrame) -> DataFrame:
-    """``flattened`` with ``position`` from 0 instead of its sort key; one ordered list, for display."""
-    return flat.withColumn("position", (F.row_number().over(Window.orderBy("__key")) - 1).cast("bigint")).drop("__key")
+    """``flattened`` with ``position`` from 0 instead of its sort key."""
+    return numbered_all(flat, ["__key"]).drop("__key")
 
 
 def selected_range(rows: DataFrame, anchor: str, target: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratakit.operators import diff, gc, history, inventory, manifest, plan, recovery, refs, tree, verify
-from stratakit.operators.common import total
+from stratakit.operators.common import numbered_all, total
 from stratakit.plans.joins import CONTENT, PLAN
 from stratakit.plans.registry import query
 from stratakit.sinks import store
@@ -258,7 +258,7 @@ def _(d):
 
 @query("lim04_window_slice", "SELECT path, position FROM (SELECT path, row_number() OVER (ORDER BY path) - 1 AS position FROM working_b) WHERE position BETWEEN 92 AND 134")
 def _(d):
-    rows = d.working_b.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("bigint").alias("position"))
+    rows = numbered_all(d.working_b.select("path"), ["path"])
     return tree.window_slice(rows, 900, top=2000.0, height=600.0, row_height=20.0, overscan=8).where("position <= 134")
 
 
@@ -296,7 +296,7 @@ def _(d):
 
 @query("win06_range", "SELECT path, position FROM (SELECT path, row_number() OVER (ORDER BY path) - 1 AS position FROM working_b) WHERE position BETWEEN 20 AND 47")
 def _(d):
-    rows = d.working_b.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("bigint").alias("position"))
+    rows = numbered_all(d.working_b.select("path"), ["path"])
     a, b = (r["path"] for r in rows.where("position in (20, 47)").orderBy("position").collect())
     return tree.selected_range(rows, b, a)
 
@@ -326,7 +326,7 @@ def _(d):
 
 @query("set05_distinct_sorted", "SELECT source, row_number() OVER (ORDER BY source) AS position FROM (SELECT DISTINCT source FROM documents)")
 def _(d):
-    return d.documents.select("source").distinct().select("source", F.row_number().over(Window.orderBy("source")).cast("bigint").alias("position"))
+    return numbered_all(d.documents.select("source").distinct(), ["source"], start=1)
 
 
 @query("set06_add_remove", "SELECT s_suppkey AS id FROM supplier WHERE s_suppkey % 3 <> 0")

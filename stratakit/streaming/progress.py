@@ -17,10 +17,11 @@ def throttled(events: DataFrame, group: str, time_ms: str, phase: str, least_ms:
     return marked.where(shown).drop("__b", "__p")
 
 
-def throttled_stream(events: DataFrame, least_ms: int = 80) -> DataFrame:
+def throttled_stream(events: DataFrame, least_ms: int = 80, idle_ms: int | None = None) -> DataFrame:
     """The same for a stream (source string, phase string, time_ms long), exact to the event last shown.
 
-    State is one phase and one time a source, kept by ``applyInPandasWithState`` and dropped after an hour without events.
+    State is one phase and one time a source, kept by ``applyInPandasWithState``. With ``idle_ms`` it is dropped
+    after that time without events; such a query runs batches without data too, so it never comes to rest.
     """
 
     def show(key, frames: Iterator, state) -> Iterator:
@@ -38,10 +39,11 @@ def throttled_stream(events: DataFrame, least_ms: int = 80) -> DataFrame:
                     phase, shown = row.phase, int(row.time_ms)
         if shown is not None:
             state.update((phase, shown))
-            state.setTimeoutDuration(3_600_000)
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["source", "phase", "time_ms"])
 
-    return events.groupBy("source").applyInPandasWithState(show, "source string, phase string, time_ms long", "phase string, shown long", "append", "ProcessingTimeTimeout")
+    return events.groupBy("source").applyInPandasWithState(show, "source string, phase string, time_ms long", "phase string, shown long", "append", "ProcessingTimeTimeout" if idle_ms else "NoTimeout")
 
 
 def windowed_counts(events: DataFrame, time: str, kind: str, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
