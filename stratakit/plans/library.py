@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stratakit.plans import aggregates, columns, graphs, joins, relations
+from stratakit.plans import aggregates, columns, composites, graphs, joins, relations
 from stratakit.plans.registry import QUERIES, oracle_sql
 
 SQL = oracle_sql()
 
-__all__ = ["QUERIES", "SQL", "aggregates", "columns", "graphs", "joins", "relations"]
+__all__ = ["QUERIES", "SQL", "aggregates", "columns", "composites", "graphs", "joins", "relations"]
