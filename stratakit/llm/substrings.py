@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from stratakit.llm.common import buckets_for, lean
 
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
-CHUNK = 8 << 20  # bytes of text whose super-k-mers are packed together
+CHUNK = 16 << 20  # bytes of text whose super-k-mers are packed together
 WORDS_KEPT = 300_000  # word hashes remembered by a worker
 
 
