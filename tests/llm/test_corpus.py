@@ -108,7 +108,6 @@ def test_colliding_window_hashes_are_told_apart(monkeypatch):
         bucket.doc.append(doc)
         bucket.tag.append(0)
         bucket.at.append(0)
-        bucket.many.append(len(text.split()) - 2)
         bucket.text.append(text)
     doc, _, a, b = substrings._later_windows([bucket.pack()], 3)
     assert (doc.tolist(), a.tolist(), b.tolist()) == ([3], [1], [2])
