@@ -18,9 +18,9 @@ from stratakit.llm.common import lean
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
-CACHED = 250_000  # chunks of text that a worker remembers
+CACHED = 150_000  # chunks of text that a worker remembers
 CACHED_LENGTH = 48
-LOT = 1 << 20
+LOT = 1 << 19
 
 
 class DoubleArray:
@@ -273,7 +273,7 @@ def load(path: str = DEFAULT_MODEL) -> Pieces:
 
 
 def _lots(values: pa.Array, pieces: Pieces) -> Iterator[tuple[int, list[bytes | None]]]:
-    """(number of the first, encoded texts), in lots of about a megabyte: what is held at once is bounded by a lot."""
+    """(number of the first, encoded texts), in lots of half a megabyte: what is held at once is bounded by a lot."""
     lot: list[str | None] = []
     held = 0
     for k, x in enumerate(values):
@@ -283,6 +283,7 @@ def _lots(values: pa.Array, pieces: Pieces) -> Iterator[tuple[int, list[bytes |
             got = iter(pieces.encode_many([t for t in lot if t is not None]))
             yield k + 1 - len(lot), [None if t is None else next(got) for t in lot]
             lot, held = [], 0
+    pa.default_memory_pool().release_unused()
 
 
 def _by_size(values: pa.Array, pieces: Pieces) -> Iterator[bytes | None]:
