@@ -1,0 +1,88 @@
+"""Jobs that once were cut short: each test fails on the code that cut them."""
+
+import random
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from stratakit.llm import jaccard
+from stratakit.llm.components import Forest
+
+
+def make(spark, rows):
+    return spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def plain_components(rows, least=0.8):
+    """{doc_id: smallest doc_id linked} by comparing all pairs; a doc_id with two texts joins both."""
+    rows = [r for r in rows if r[0] is not None]
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {" ".join(w[i:i + 5]) for i in range(len(w) - 4)} or ({" ".join(w)} if w else set())
+
+    sets, reach = [shingles(r[1]) for r in rows], {r[0]: r[0] for r in rows}
+    links = [(rows[i][0], rows[j][0]) for i, j in combinations(range(len(rows)), 2) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+    for _ in reach:
+        before = dict(reach)
+        for a, b in links:
+            reach[a] = reach[b] = min(reach[a], reach[b])
+        if reach == before:
+            break
+    return reach
+
+
+# pipeline: near copies
+
+
+def edited(rng, text, n):
+    w = text.split()
+    for k in rng.sample(range(len(w)), n):
+        w[k] = f"new{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_pipeline_drops_near_copies_of_a_few_edited_words(spark):
+    rng = random.Random(3)
+    rows = []
+    for g in range(40):
+        base = " ".join(f"w{rng.randrange(3000)}" for _ in range(60 + 5 * g))
+        rows += [(10 * g, base, "en", "s0"), (10 * g + 1, edited(rng, base, 1 + g // 12), "en", "s0"), (10 * g + 2, edited(rng, base, 2 + g // 6), "en", "s0"), (10 * g + 3, base.upper(), "en", "s0")]
+    reach = plain_components(rows)
+    kept = corpus_pipeline.near_duplicates(spark, make(spark, rows), "")
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(set(reach.values()))
+
+
+def test_jaccard_components_are_those_of_all_pairs(spark, odd, odd_rows, nothing, documents):
+    assert jaccard.jaccard_components(nothing).count() == 0
+    for docs, rows in ((odd, odd_rows), (documents, [tuple(r) for r in documents.select("doc_id", "text").collect()])):
+        reach = plain_components(rows)
+        got = jaccard.jaccard_components(docs).collect()
+        assert len(got) == len(rows)
+        assert all(r["component_id"] == reach[r["doc_id"]] for r in got if r["doc_id"] is not None)
+    kept = jaccard.near_dedup(odd)
+    assert kept.columns == odd.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert sorted(x for x in ids if x is not None) == sorted(set(plain_components(odd_rows).values())) and ids.count(None) == 1
+
+
+@pytest.mark.parametrize("size", [3, 40, 400])
+def test_verification_is_exact(size):
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(30):
+        base = rng.integers(0, 1 << 62, size, dtype=np.uint64)
+        for _ in range(6):
+            x = base.copy()
+            at = rng.random(size) < rng.random() * 0.25
+            x[at] = rng.integers(0, 1 << 62, int(at.sum()), dtype=np.uint64)
+            sets.append(np.unique(x))
+    got, want = Forest(len(sets)), Forest(len(sets))
+    jaccard.linked(sets, 0.8, got)
+    for i, j in combinations(range(len(sets)), 2):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both):
+            want.unite(np.array([i]), np.array([j]))
+    assert got.roots(np.arange(len(sets))).tolist() == want.roots(np.arange(len(sets))).tolist()
