@@ -19,6 +19,7 @@ WORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(rb"[0-9a-f]{32,}")
 TOKEN_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+JOINTS = TOKEN_BYTES[62:]
 ACCESS_LEAST, HEX_LEAST, ASSIGN_LEAST, TOKEN_LEAST = 16, 32, 8, 20
 REDACTED = "[REDACTED]"
 
@@ -89,19 +90,33 @@ class SecretModel:
         return kinds >= 2 and len(set(token)) >= 8 and self.ratio(token) > self.threshold
 
 
+def uncovered(runs: list[tuple[int, int]], base: list[tuple[int, int, int]], least: int) -> list[tuple[int, int]]:
+    """What sorted ``base`` spans leave of each run: the pieces of ``least`` bytes or more."""
+    out, k = [], 0
+    for a, b in runs:
+        while k < len(base) and base[k][2] <= a:
+            k += 1
+        at = k
+        while at < len(base) and base[at][0] < b:
+            if base[at][0] - a >= least:
+                out.append((a, base[at][0]))
+            a, at = max(a, base[at][2]), at + 1
+        if b - a >= least:
+            out.append((a, b))
+    return out
+
+
 def spans(text: bytes, model: SecretModel | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(base spans, all spans) in bytes. A Markov span is a whole token that overlaps no base span."""
+    """(base spans, all spans) in bytes. A Markov span is a whole token, or a whole rest of one that base spans leave."""
     base = base_spans(text)
     if model is None:
         return base, base
-    more, k = [], 0
-    by_end = sorted((a, b) for a, _, b in base)
-    for a, b in token_runs(text, TOKEN_LEAST):
-        while k < len(by_end) and by_end[k][1] <= a:
-            k += 1
-        if any(x < b and y > a for x, y in by_end[k:k + 8]):
-            continue
-        if model.is_secret(text[a:b]):
+    runs, more = token_runs(text, TOKEN_LEAST), []
+    whole = set(runs)
+    for a, b in uncovered(runs, base, TOKEN_LEAST):
+        # what joins a rest to a base span is no part of the secret
+        bare = text[a:b] if (a, b) in whole else text[a:b].strip(JOINTS)
+        if model.is_secret(text[a:b]) or (TOKEN_LEAST <= len(bare) < b - a and model.is_secret(bare)):
             more.append((a, 3, b))
     return base, sorted(base + more)
 
