@@ -175,14 +175,40 @@ def linked(graph: HNSW, x: np.ndarray, asked: np.ndarray, least: float, beam: in
             at, wide = at[more], min(4 * wide, graph.n)
 
 
-def audit(graph: HNSW, x: np.ndarray, asked: np.ndarray, least: float, beam: int, most: int = 64, seed: int = 9) -> float:
-    """Share of the true links of a bounded sample of queries that the graph finds."""
-    pick = np.random.default_rng(seed).choice(len(asked), min(most, len(asked)), replace=False)
-    true = asked[pick] @ x.T >= least
-    got = np.zeros_like(true)
-    for q, h in linked(graph, x, asked[pick], least, beam):
-        got[q, h] = True
-    return float((got & true).sum() / max(1, true.sum()))
+SPARSE = 2  # links of a query, besides itself, that are still few
+
+
+def audit_sample(x: np.ndarray, asked: np.ndarray, place: np.ndarray, least: float, most: int = 64, looked: int = 4096, seed: int = 9) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    """(queries, their true links) of at most ``most`` queries with few links and of as many with more.
+
+    Brute force over at most ``looked`` queries, drawn by chance; a query's link to itself (``place``) is none.
+    """
+    groups: list[tuple[list[int], list[np.ndarray]]] = [([], []), ([], [])]
+    order = np.random.default_rng(seed).permutation(len(asked))[:looked]
+    for k in range(0, len(order), 256):
+        pick = order[k:k + 256]
+        true = asked[pick] @ x.T >= least + 1e-12  # not what only rounding decides
+        at = np.flatnonzero(place[pick] >= 0)
+        true[at, place[pick[at]]] = False
+        for q, n in zip(np.flatnonzero(true.any(1)).tolist(), true.sum(1)[true.any(1)].tolist(), strict=True):
+            queries, links = groups[int(n > SPARSE)]
+            if len(queries) < most:
+                queries.append(int(pick[q]))
+                links.append(np.flatnonzero(true[q]))
+        if all(len(g[0]) == most for g in groups):
+            break
+    return [(np.array(queries), links) for queries, links in groups if queries]
+
+
+def audit(graph: HNSW, x: np.ndarray, asked: np.ndarray, least: float, beam: int, sample: list[tuple[np.ndarray, list[np.ndarray]]]) -> float:
+    """Mean share of a query's true links that the graph finds; of queries with few links and with more, the lesser."""
+    worst = 1.0
+    for queries, links in sample:
+        got = np.zeros((len(queries), len(x)), bool)
+        for q, h in linked(graph, x, asked[queries], least, beam):
+            got[q, h] = True
+        worst = min(worst, float(np.mean([got[q, h].mean() for q, h in enumerate(links)])))
+    return worst
 
 
 def _shard(rows: pa.Table, least: float, recall: float) -> pa.Table:
@@ -195,14 +221,14 @@ def _shard(rows: pa.Table, least: float, recall: float) -> pa.Table:
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     own = np.flatnonzero(home)
     x = v[own]
-    graph, beam = HNSW(x), 16
-    while beam < graph.n and audit(graph, x, v, least, beam) < recall:
+    place = np.full(len(node), -1)
+    place[own] = np.arange(len(own))
+    graph, beam, sample = HNSW(x), 16, audit_sample(x, v, place, least)
+    while beam < graph.n and audit(graph, x, v, least, beam, sample) < recall:
         beam *= 2
     within = np.zeros((len(own), len(own)), bool)
     count = np.zeros(len(node), np.int64)
     forest = Forest(len(node))
-    place = np.full(len(node), -1)
-    place[own] = np.arange(len(own))
     for q, h in linked(graph, x, v, least, beam):
         inside = place[q] >= 0
         within[place[q[inside]], h[inside]] = True

@@ -4,10 +4,11 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from stratakit.llm import jaccard, secrets
+from stratakit.llm import jaccard, secrets, vectors
 from stratakit.llm.components import Forest
 
 
@@ -116,3 +117,25 @@ def test_rests_of_runs_are_what_no_base_span_covers():
                         want.append((a + at, a + i))
                     at = i + 1
         assert secrets.uncovered(runs, base, 20) == want
+
+
+# 9 audits of sparse links
+
+
+def test_audit_sees_pairs_beside_a_dense_group(monkeypatch):
+    rng = np.random.default_rng(2)
+    centres = np.concatenate((np.repeat(rng.normal(size=(1, 16)), 300, 0), np.repeat(rng.normal(size=(40, 16)), 2, 0)))
+    v = centres + rng.normal(size=centres.shape) * 1e-3
+    real = vectors.linked
+
+    def narrow(graph, x, asked, least, beam):
+        """A search whose narrow beams find a query itself and dense groups only."""
+        many = (asked @ x.T >= least).sum(1) > 10
+        for q, h in real(graph, x, asked, least, graph.n):
+            keep = many[q] | (beam >= 64) | (np.einsum("ij,ij->i", asked[q], x[h]) > 1 - 1e-12)
+            yield q[keep], h[keep]
+
+    monkeypatch.setattr(vectors, "linked", narrow)
+    rows = pa.table({"node": np.arange(len(v)), "size": np.ones(len(v), np.int64), "home": np.ones(len(v), bool), "v": pa.array(v.tolist(), pa.list_(pa.float64()))})
+    found = vectors._shard(rows, 0.98, 0.995).to_pylist()
+    assert {r["node"]: r["n"] for r in found if r["node"] is not None} == {k: 299 if k < 300 else 1 for k in range(len(v))}
