@@ -176,7 +176,7 @@ def judge(text: bytes, crf: LineCRF, least_share: float) -> tuple:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 1600) -> LineCRF:
-    """Fit on at most ``most`` labelled documents: the lines of good ones are content, those of bad ones boilerplate.
+    """Fit on at most ``most`` labelled documents: all lines of good ones are content, those of bad ones boilerplate.
 
     Documents with contrary labels, or none, are left out.
     """
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 1600) -> LineCRF:
     sequences = []
     for text, q in picked:
         x = line_features(text.split(b"\n"))[0]
-        sequences += [(x[k:k + SEGMENT], np.full(len(x[k:k + SEGMENT]), q)) for k in range(0, min(len(x), 4 * SEGMENT), SEGMENT)]
+        sequences += [(x[k:k + SEGMENT], np.full(len(x[k:k + SEGMENT]), q)) for k in range(0, len(x), SEGMENT)]
     return LineCRF.train(sequences)
 
 

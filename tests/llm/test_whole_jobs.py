@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from stratakit.llm import jaccard, secrets, vectors
+from stratakit.llm import jaccard, quality, secrets, vectors
 from stratakit.llm.components import Forest
 
 
@@ -139,3 +139,15 @@ def test_audit_sees_pairs_beside_a_dense_group(monkeypatch):
     rows = pa.table({"node": np.arange(len(v)), "size": np.ones(len(v), np.int64), "home": np.ones(len(v), bool), "v": pa.array(v.tolist(), pa.list_(pa.float64()))})
     found = vectors._shard(rows, 0.98, 0.995).to_pylist()
     assert {r["node"]: r["n"] for r in found if r["node"] is not None} == {k: 299 if k < 300 else 1 for k in range(len(v))}
+
+
+# 7 training on whole texts
+
+
+def test_all_lines_of_labelled_texts_train_the_line_model(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.LineCRF, "train", classmethod(lambda cls, sequences: seen.extend(sequences)))
+    lines = {1: 1000, 2: 300, 3: 5, 4: 700}
+    docs = make(spark, [(k, "\n".join(f"line {i} of many" for i in range(n)), "en", "s0") for k, n in lines.items()])
+    quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int"))
+    assert sum(len(x) for x, _ in seen) == 1305 and sum(int(y.sum()) for _, y in seen) == 1005
