@@ -168,7 +168,11 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float = 0.05) -> DataFrame:
-    """The rows of ``docs`` whose language is found with ``least_score``; ``und`` and doubtful texts go. All columns stay."""
+    """The rows of ``docs`` whose language is found with ``least_score``; ``und`` texts go. All columns stay.
+
+    A winner of one duel scores 0.5 or more, so with at most two names at each level every score is 0.25 or more:
+    the default then rejects ``und`` only, and letter junk or a language that was not learned stays.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from stratakit.llm import jaccard, quality, secrets, vectors
+from stratakit.llm import jaccard, language, quality, secrets, vectors
 from stratakit.llm.components import Forest
 
 
@@ -151,3 +151,15 @@ def test_all_lines_of_labelled_texts_train_the_line_model(spark, monkeypatch):
     docs = make(spark, [(k, "\n".join(f"line {i} of many" for i in range(n)), "en", "s0") for k, n in lines.items()])
     quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int"))
     assert sum(len(x) for x, _ in seen) == 1305 and sum(int(y.sum()) for _, y in seen) == 1005
+
+
+# pipeline: what the language stage rejects
+
+
+def test_language_stage_rejects_what_its_docstring_says(spark, documents):
+    model = language.fit(documents)
+    assert len(model.family.names) <= 2 and all(len(d.names) <= 2 for d in model.inside.values())
+    rows = [(1, "zqx xqz qqzx vvkq wxz", "en", "s0"), (2, "Ünï ż ł 日本語", "en", "s0"), (3, "12 34 !?", "en", "s0"), (4, "a", "en", "s0")]
+    assert all(r["score"] >= 0.25 for r in language.identify(make(spark, rows), model).collect() if r["doc_id"] != 3)
+    assert sorted(r["doc_id"] for r in language.keep_identified(make(spark, rows), model).collect()) == [1, 2, 4]
+    assert "doubtful" not in language.keep_identified.__doc__ + corpus_pipeline.identified.__doc__
