@@ -6,9 +6,13 @@ import math
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: A word, everywhere in this subpackage: a run without ASCII white space. ``bytes.split()`` cuts at the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,12 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share.
+
+    Where the session names none, a temporary one serves a local master (tests); a cluster's executors could not
+    read it, so there it is an error.
+    """
     have = spark.conf.get("spark.checkpoint.dir", None)
     if have:
         return have
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="stratakit-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -91,15 +101,53 @@ def numbered(df: DataFrame, group: list[str], order: list[Column], spread: Colum
     return joined.withColumn(out, (F.col("__start") + F.col("__r") - 1).cast("long")).select(*df.columns, out)
 
 
-def sample_rows(df: DataFrame, key: str, columns: list[str], most: int) -> list:
-    """At most ``most`` rows, those with the smallest hash of ``key``; the only rows that models are fitted on.
+def sample_rows(df: DataFrame, key: str, columns: list[str], most: int) -> DataFrame:
+    """One row for each of at most ``most`` keys, those with the smallest hash; the only rows that models are fitted on.
 
-    The first pass reads ``key`` alone, so texts are read for the chosen rows only.
+    Of rows that share a key, the one with the smallest hash of ``columns`` stands, so reruns agree. The first pass
+    reads ``key`` alone; ``columns`` are read for the chosen rows only. A null key is never chosen.
     """
     chosen = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(most)
-    keys = [r[0] for r in chosen.collect()]
-    if not keys:
-        return []
-    picked = df.sparkSession.createDataFrame([(k,) for k in keys], f"__k {dict(df.dtypes)[key]}")
-    rows = df.join(F.broadcast(picked), F.col(key) == F.col("__k"), "left_semi").select(key, *columns)
-    return sorted(rows.limit(2 * most).collect(), key=lambda r: (r[0], *(str(v) for v in r[1:])))
+    kind = dict(df.dtypes)[key]
+    return rows_of_keys(df, key, columns, df.sparkSession.createDataFrame([(r[0],) for r in chosen.collect()], f"__k {kind}"))
+
+
+def rows_of_keys(df: DataFrame, key: str, columns: list[str], keys: DataFrame) -> DataFrame:
+    """(key, columns), one row for each key in ``keys`` (__k, ...), a bounded table; its other columns follow."""
+    rows = df.join(F.broadcast(keys), F.col(key) == F.col("__k")).groupBy(*keys.columns)
+    one = rows.agg(F.min(F.struct(F.xxhash64(*columns), *columns)).alias("__row"))
+    return one.select(F.col("__k").alias(key), *[F.col(f"__row.{c}").alias(c) for c in columns], *keys.columns[1:])
+
+
+def in_workers(df: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """``work`` on each row (a tuple of Python values) gives rows of ``schema``; for the bounded samples of ``fit``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [out for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for out in work(*row)]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], shape)
+
+    empty = df.sparkSession.createDataFrame([], schema)
+    names, shape = empty.columns, to_arrow_schema(empty.schema)
+    return lean(df).mapInArrow(run, schema)
+
+
+def with_class(rows: DataFrame, classes: DataFrame, on: list[str], size: str, total: int, take: list[str]) -> DataFrame:
+    """``rows`` with the columns ``take`` of their class, null where there is none; null keys have none.
+
+    ``classes`` holds one row for each combination of ``on`` and the class's number of rows, ``size``. A class that
+    holds over 1/HOT of all ``total`` rows (there are fewer than HOT of them) is met by broadcast, so that its rows
+    stay where they are; the others meet by an ordinary join.
+    """
+    named = classes.select(*[F.col(c).alias(f"__on{k}") for k, c in enumerate(on)], *[F.col(c).alias(f"__take{k}") for k, c in enumerate(take)], (F.col(size) * HOT > total).alias("__hot"))
+    same = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"__on{k}") for k, c in enumerate(on)])
+    places = [f"__take{k}" for k in range(len(take))]
+    first = rows.join(F.broadcast(named.where("__hot")), same, "left").drop(*[f"__on{k}" for k in range(len(on))])
+    met = first.where("__hot")
+    rest = first.where("__hot is null").select(*rows.columns).join(named.where("not __hot"), same, "left")
+    columns = [*rows.columns, *[F.col(p).alias(c) for p, c in zip(places, take, strict=True)]]
+    return met.select(*columns).union(rest.select(*columns))
+
+
+#: A class with over 1/HOT of all rows is hot.
+HOT = 1000

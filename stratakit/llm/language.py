@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratakit.llm.common import lean, sample_rows
+from stratakit.llm.common import in_workers, lean, sample_rows
 
 #: Language -> family; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -112,8 +112,10 @@ class Discriminator:
 
 
 class LanguageModel:
-    def __init__(self, samples: list[tuple[bytes, str]], families: dict[str, str] = FAMILIES, cost: float = 1.0):
-        rows, langs = [counted(t) for t, _ in samples], [x for _, x in samples]
+    """``samples``: ((codes, shares) of a text's trigrams, language)."""
+
+    def __init__(self, samples: list[tuple[tuple[np.ndarray, np.ndarray], str]], families: dict[str, str] = FAMILIES, cost: float = 1.0):
+        rows, langs = [x for x, _ in samples], [x for _, x in samples]
         kin = [families.get(x, x) for x in langs]
         self.family = Discriminator(sorted(set(kin)), rows, kin, cost) if samples else None
         self.inside = {f: Discriminator(sorted({x for x, g in zip(langs, kin, strict=True) if g == f}), rows, langs, cost) for f in sorted(set(kin))}
@@ -142,12 +144,23 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, held_out: int | None = 2, most: int = 2400) -> LanguageModel:
-    """Fit on at most ``most`` documents with a text and a language, outside the fold ``held_out``."""
+    """Fit on at most ``most`` documents with a text and a language, outside the fold ``held_out``.
+
+    Trigrams of the whole texts are counted by the executors; the driver gets a number for each distinct trigram.
+    Of rows that share a doc_id one is used (see ``sample_rows``). No usable row gives a model that knows nothing.
+    """
     usable = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     if held_out is not None:
         usable = usable.where(fold(F.col("doc_id")) != held_out)
-    picked = sample_rows(usable, "doc_id", ["text", "lang"], most)
-    return LanguageModel([(bytes(r["text"]), r["lang"]) for r in picked if len(trigrams(bytes(r["text"])))])
+
+    def features(_, text, lang):
+        codes, share = counted(text)
+        if len(codes):
+            yield codes.astype("<i4").tobytes(), share.astype("<f4").tobytes(), lang
+
+    rows = in_workers(sample_rows(usable, "doc_id", ["text", "lang"], most), features, "codes binary, share binary, lang string").collect()
+    rows = sorted((bytes(r["codes"]), bytes(r["share"]), r["lang"]) for r in rows)
+    return LanguageModel([((np.frombuffer(c, "<i4"), np.frombuffer(x, "<f4").astype(float)), lang) for c, x, lang in rows])
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakit.llm.common import lean, sample_rows
+from stratakit.llm.common import in_workers, lean, rows_of_keys
 from stratakit.llm.substrings import MIX, rolled
 
 SPACE = b" \t\n\r\x0b\x0c"
@@ -18,6 +18,7 @@ CAPITALS = bytes(range(65, 91))
 SMALL = bytes(range(97, 123))
 DIGITS = b"0123456789"
 FEATURES = ("any", "no word", "1-2 words", "3-7 words", "8-20 words", "over 20 words", "some symbols", "many symbols", "capitals", "repeats a line", "bars", "ends a sentence", "few distinct words", "half distinct words", "exclaims", "digits", "first", "last")
+NO_WORD = 1
 SEGMENT = 64  # lines of a training sequence
 
 
@@ -97,50 +98,55 @@ def line_features(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 class LineCRF:
-    """Two states, 0 boilerplate and 1 content; weights for features, transitions and the start."""
+    """Two states, 0 boilerplate and 1 content; weights for features, transitions and the start.
 
-    def __init__(self, emit: np.ndarray, step: np.ndarray, start: np.ndarray):
-        self.emit, self.step, self.start = emit, step, start
+    ``least_share``: a text whose content lines hold a smaller share of its words is not kept.
+    """
+
+    def __init__(self, emit: np.ndarray, step: np.ndarray, start: np.ndarray, least_share: float = 0.5):
+        self.emit, self.step, self.start, self.least_share = emit, step, start, least_share
 
     @classmethod
-    def train(cls, sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 120, rate: float = 0.1, ridge: float = 1e-3) -> LineCRF:
+    def train(cls, sequences: list[tuple[np.ndarray, np.ndarray]], weights: list[float] | None = None, rounds: int = 120, rate: float = 0.1, ridge: float = 1e-3) -> LineCRF:
         """Maximum likelihood by Adam over (features, states) sequences; no sequence gives a model that keeps all."""
         nf = len(FEATURES)
         theta = np.zeros(2 * nf + 6)
         if not sequences:
             return cls(np.zeros((nf, 2)), np.zeros((2, 2)), np.array([0.0, 1.0]))
-        longest = max(len(y) for _, y in sequences)
-        x = np.zeros((len(sequences), longest, nf))
-        y = np.zeros((len(sequences), longest), np.int64)
-        on = np.zeros((len(sequences), longest), bool)
-        for k, (a, b) in enumerate(sequences):
-            x[k, :len(b)], y[k, :len(b)], on[k, :len(b)] = a, b, True
-        # both classes weigh the same, whatever their share of the sample
-        share = np.bincount(y[on], minlength=2) / on.sum()
-        weight = np.where(y[:, 0] == 1, 0.5 / max(share[1], 1e-9), 0.5 / max(share[0], 1e-9))
+        weight = np.array(weights if weights is not None else [1.0] * len(sequences), float)
         weight /= weight.sum()
-        hot = np.eye(2)[y] * on[..., None]
-        goal_emit = np.einsum("ktf,kts,k->fs", x, hot, weight)
-        goal_step = np.einsum("kta,ktb,k->ab", hot[:, :-1], hot[:, 1:], weight)
-        goal_start = np.einsum("ks,k->s", hot[:, 0], weight)
-        goal = np.concatenate((goal_emit.ravel(), goal_step.ravel(), goal_start))
+        by_length = sorted(range(len(sequences)), key=lambda k: -len(sequences[k][1]))
+        sequences, weight = [sequences[k] for k in by_length], weight[by_length]
+        lengths = np.array([len(y) for _, y in sequences])
+        longest = int(lengths[0])
+        going = [int((lengths > t).sum()) for t in range(longest + 1)]  # the first so many sequences have a line t
+        on = np.arange(longest) < lengths[:, None]
+        y = np.zeros(on.shape, np.int64)
+        y[on] = np.concatenate([b for _, b in sequences])
+        x = np.concatenate([a for a, _ in sequences])  # rows of features in the order of ``on``
+        by_line = np.repeat(weight, lengths)[:, None]
+        pairs = np.bincount((2 * y[:, :-1] + y[:, 1:])[on[:, 1:]], np.repeat(weight, lengths - 1), 4)
+        goal = np.concatenate(((x.T @ (np.eye(2)[y[on]] * by_line)).ravel(), pairs, np.bincount(y[:, 0], weight, 2)))
         m, v = np.zeros_like(theta), np.zeros_like(theta)
-        lse = lambda z, axis: (top := z.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(z - top).sum(axis=axis))
         for r in range(1, rounds + 1):
             emit, step, start = theta[:2 * nf].reshape(nf, 2), theta[2 * nf:-2].reshape(2, 2), theta[-2:]
-            e = x @ emit
-            a = np.zeros_like(e)
-            b = np.zeros_like(e)
-            a[:, 0] = start + e[:, 0]
+            e = np.zeros((*on.shape, 2))
+            e[on] = x @ emit
+            ahead, back = np.zeros_like(e), np.zeros_like(e)
+            ahead[:, 0] = start + e[:, 0]
             for t in range(1, longest):
-                a[:, t] = np.where(on[:, t, None], lse(a[:, t - 1, :, None] + step, 1) + e[:, t], a[:, t - 1])
+                n = going[t]
+                ahead[:n, t] = np.logaddexp(ahead[:n, t - 1, :1] + step[0], ahead[:n, t - 1, 1:] + step[1]) + e[:n, t]
             for t in range(longest - 2, -1, -1):
-                b[:, t] = np.where(on[:, t + 1, None], lse(step[None] + (e[:, t + 1] + b[:, t + 1])[:, None, :], 2), 0.0)
-            z = lse(a[:, -1], 1)
-            p = np.exp(a + b - z[:, None, None]) * on[..., None]
-            pair = np.exp(a[:, :-1, :, None] + step + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]) * on[:, 1:, None, None]
-            have = np.concatenate((np.einsum("ktf,kts,k->fs", x, p, weight).ravel(), np.einsum("ktab,k->ab", pair, weight).ravel(), np.einsum("ks,k->s", p[:, 0], weight)))
-            g = have - goal + ridge * theta
+                n = going[t + 1]
+                then = e[:n, t + 1] + back[:n, t + 1]
+                back[:n, t] = np.logaddexp(then[:, :1] + step[:, 0], then[:, 1:] + step[:, 1])
+            total = np.logaddexp(ahead[:, 0, 0] + back[:, 0, 0], ahead[:, 0, 1] + back[:, 0, 1])
+            p = np.exp((ahead + back)[on] - np.repeat(total, lengths)[:, None]) * by_line
+            both, place = on[:, 1:], np.repeat(total, lengths - 1)
+            moves = [float((np.exp(ahead[:, :-1, i][both] + step[i, j] + (e + back)[:, 1:, j][both] - place) * np.repeat(weight, lengths - 1)).sum()) for i in (0, 1) for j in (0, 1)]
+            first = np.exp(ahead[:, 0] + back[:, 0] - total[:, None]) * weight[:, None]
+            g = np.concatenate(((x.T @ p).ravel(), moves, first.sum(axis=0))) - goal + ridge * theta
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             theta = theta - rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.999**r)) + 1e-8)
         return cls(theta[:2 * nf].reshape(nf, 2), theta[2 * nf:-2].reshape(2, 2), theta[-2:])
@@ -163,52 +169,155 @@ class LineCRF:
         return np.array(out[::-1])
 
 
-def judge(text: bytes, crf: LineCRF, least_share: float) -> tuple:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, content share, base_failed, kept)"""
+def judge(text: bytes, crf: LineCRF) -> tuple:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, content share, base_failed, kept, marks)"""
     words = text.split()
     n = len(words)
     chars = len(text.decode("utf-8", "replace")) - without(text, SPACE)
     x, by_line, twice = line_features(text.split(b"\n"))
     repeats = repeat_words(words)
     failed = n < 20 or 100 * repeats > 30 * n
-    share = float((by_line * crf.decode(x)).sum()) / n if n else 0.0
-    return n, chars, without(text, SYMBOLS), twice, repeats, share, failed, bool(not failed and share >= least_share)
+    states = crf.decode(x)
+    share = float((by_line * states).sum()) / n if n else 0.0
+    return n, chars, without(text, SYMBOLS), twice, repeats, share, failed, bool(not failed and share >= crf.least_share), (states + ord("0")).astype(np.uint8).tobytes().decode()
+
+
+def segments(lines: int, most: int) -> list[tuple[int, int]]:
+    """Segments of the lines 0 to ``lines``: all of them, or ``most`` at even distances over the whole text."""
+    starts = list(range(0, lines, SEGMENT))
+    if len(starts) > most:
+        starts = [starts[k * len(starts) // most] for k in range(most)]
+    return [(k, min(k + SEGMENT, lines)) for k in starts]
+
+
+def packed(x: np.ndarray) -> np.ndarray:
+    """One number a line, a bit a feature."""
+    return (x.astype(np.int64) << np.arange(len(FEATURES))).sum(axis=1).astype("<i4")
+
+
+def unpacked(codes: np.ndarray) -> np.ndarray:
+    return (codes[:, None] >> np.arange(len(FEATURES)) & 1).astype(float)
+
+
+def line_states(good: list[np.ndarray], bad: list[np.ndarray], rounds: int = 3) -> list[np.ndarray]:
+    """States of the lines of bad documents, from evidence on each line: the log odds of its features.
+
+    Lines of good documents are content. At first all lines of bad ones count as boilerplate; then those whose
+    features are likelier among content become content, and the odds are taken anew. The likeliest line of a bad
+    document is boilerplate in any case. A line without a word has the state of the line before it.
+    """
+    worded = lambda x: x[:, NO_WORD] == 0
+    states = [np.zeros(len(x), np.int64) for x in bad]
+    for _ in range(rounds):
+        rates = []
+        for wanted in (0, 1):
+            rows = [x[worded(x) & (y == wanted)] for x, y in zip(bad, states, strict=True)] + ([x[worded(x)] for x in good] if wanted else [])
+            n = sum(map(len, rows))
+            rates.append((sum((x.sum(axis=0) for x in rows), np.zeros(len(FEATURES))) + 0.5) / (n + 1.0))
+        odds = np.log(rates[0]) - np.log(rates[1])
+        odds[[0, NO_WORD, 16, 17]] = 0.0  # neither the constant nor a line's place is evidence
+        states = []
+        for x in bad:
+            value, has = x @ odds, worded(x)
+            y = np.where(value > 0, 0, 1)
+            if has.any():
+                y[np.flatnonzero(has)[value[has].argmax()]] = 0
+            at = np.maximum.accumulate(np.where(has, np.arange(len(x)), -1))
+            states.append(np.where(at >= 0, y[np.maximum(at, 0)], 0))
+    return states
+
+
+def spliced(good: list[np.ndarray], bad: list[np.ndarray], states: list[np.ndarray], n: int, seed: int = 21) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``n`` seeded sequences in which runs of lines of good documents and of boilerplate lines follow each other."""
+    junk = [x[y == 0] for x, y in zip(bad, states, strict=True) if (y == 0).any()]
+    if not good or not junk:
+        return []
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(n):
+        parts, marks = [], []
+        for k in range(int(rng.integers(2, 5))):
+            state = (k + len(out)) % 2
+            lines = (good if state else junk)[int(rng.integers(len(good if state else junk)))]
+            a = int(rng.integers(len(lines)))
+            parts.append(lines[a:a + int(rng.integers(1, 9))].copy())
+            marks.append(np.full(len(parts[-1]), state))
+        x = np.concatenate(parts)
+        x[:, 16:18] = 0
+        x[0, 16] = x[-1, 17] = 1
+        out.append((x, np.concatenate(marks)))
+    return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 1600) -> LineCRF:
-    """Fit on at most ``most`` labelled documents: all lines of good ones are content, those of bad ones boilerplate.
+def best_cut(shares: np.ndarray, good: np.ndarray) -> float:
+    """The share below which documents go: most good ones kept and bad ones dropped, both counted as rates; of equal
+    cuts the one in the widest gap. One kind alone gives a half."""
+    if good.all() or not good.any():
+        return 0.5
+    at = np.unique(np.concatenate((shares, [0.0, 1.0])))
+    cuts, gaps = (at[1:] + at[:-1]) / 2, np.diff(at)
+    value = [(shares[good] >= c).mean() + (shares[~good] < c).mean() for c in cuts]
+    return float(max(zip(np.round(value, 9), gaps, cuts, strict=True))[2])
 
-    Documents with contrary labels, or none, are left out.
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = 1600, most_segments: int = 16) -> LineCRF:
+    """Fit on at most ``most`` labelled documents, half of either quality; reruns agree.
+
+    Of a longer text ``most_segments`` segments of 64 lines are used, spread evenly over all of it. Executors turn
+    lines into features; no text reaches the driver. States of lines come from ``line_states``, and ``spliced``
+    sequences join the documents', so that training sequences change state. The least share of content is set on the
+    same documents, those that the base rules drop aside. Documents with contrary labels, or none, are left out; of
+    rows that share a doc_id one is used. Nothing to learn from gives a model that keeps all lines.
     """
-    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi and lo in (0, 1)").select("doc_id", F.col("lo").alias("quality"))
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where("text is not null")
-    picked = []
-    for q in (0, 1):
-        wanted = {r["doc_id"] for r in marks.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2).select("doc_id").collect()}
-        if wanted:
-            keys = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in sorted(wanted)], "doc_id long"))
-            picked += [(bytes(r["text"]), q) for r in sample_rows(texts.join(keys, "doc_id", "left_semi"), "doc_id", ["text"], most // 2)]
-    sequences = []
-    for text, q in picked:
-        x = line_features(text.split(b"\n"))[0]
-        sequences += [(x[k:k + SEGMENT], np.full(len(x[k:k + SEGMENT]), q)) for k in range(0, len(x), SEGMENT)]
-    return LineCRF.train(sequences)
-
-
-def quality_rules(docs: DataFrame, crf: LineCRF, least_share: float = 0.5) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, content_share, base_failed, kept)
-    for each row of ``docs``; kept if the base rules pass and lines marked as content hold ``least_share`` of the words.
-
-    Null text counts as empty: no words, so base_failed. Texts are judged whole; repeated rows are repeated.
+    marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("__k")).agg(F.min("quality").cast("int").alias("quality"), F.max("quality").alias("__hi")).where("quality = __hi and quality in (0, 1)").select("__k", "quality")
+    ids = docs.select(F.col("doc_id").cast("long").alias("__k"))
+    usable = marks.join(ids, "__k", "left_semi")
+    picked = [tuple(r) for q in (0, 1) for r in usable.where(F.col("quality") == q).orderBy(F.xxhash64("__k"), "__k").limit(most // 2).collect()]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
+    keys = docs.sparkSession.createDataFrame(picked, "__k long, quality int")
+    untrained = LineCRF.train([])
+
+    def features(doc_id, text, quality):
+        x, by_line, _ = line_features(text.split(b"\n"))
+        failed = judge(text, untrained)[6]
+        for a, b in segments(len(x), most_segments):
+            yield doc_id, a, quality, failed, packed(x[a:b]).tobytes(), by_line[a:b].astype("<i8").tobytes()
+
+    found = in_workers(rows_of_keys(texts, "doc_id", ["text"], keys), features, "doc_id long, at long, quality int, failed boolean, codes binary, words binary")
+    rows = sorted(found.collect(), key=lambda r: (r["doc_id"], r["at"]))
+    x = [unpacked(np.frombuffer(r["codes"], "<i4")) for r in rows]
+    good, bad = ([f for f, r in zip(x, rows, strict=True) if r["quality"] == q] for q in (1, 0))
+    states = line_states(good, bad)
+    kinds = ([(f, np.ones(len(f), np.int64)) for f in good], list(zip(bad, states, strict=True)), spliced(good, bad, states, max(len(good), len(bad))))
+    crf = LineCRF.train([s for kind in kinds for s in kind], [1 / len(kind) for kind in kinds for _ in kind])  # each kind weighs the same
+    shares: dict[int, list] = {}
+    for f, r in zip(x, rows, strict=True):
+        if not r["failed"]:
+            words = np.frombuffer(r["words"], "<i8")
+            held = shares.setdefault(r["doc_id"], [0, 0, r["quality"]])
+            held[0] += int((words * crf.decode(f)).sum())
+            held[1] += int(words.sum())
+    judged = [(a / n, q) for a, n, q in shares.values() if n]
+    crf.least_share = best_cut(np.array([a for a, _ in judged]), np.array([q == 1 for _, q in judged], bool)) if judged else 0.5
+    return crf
+
+
+def quality_rules(docs: DataFrame, crf: LineCRF) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, content_share, base_failed, kept, marks)
+    for each row of ``docs``; kept if the base rules pass and lines marked as content hold the model's least share of
+    the words. ``marks`` has a character for each line: 1 content, 0 boilerplate.
+
+    Null text counts as empty: no words, so base_failed, and one line. Texts are judged whole; repeated rows are
+    repeated; a tie of two line labellings goes to content. Columns other than doc_id and text are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(crf)  # a weight for each feature
     rows = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content_share", "base_failed", "kept"]
-    kinds = [pa.int64()] * 5 + [pa.float64(), pa.bool_(), pa.bool_()]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content_share", "base_failed", "kept", "marks"]
+    kinds = [pa.int64()] * 5 + [pa.float64(), pa.bool_(), pa.bool_(), pa.string()]
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = list(zip(*(judge(x.as_py() or b"", sent.value, least_share) for x in batch.column(1)), strict=True)) or [[]] * 8
+            got = list(zip(*(judge(x.as_py() or b"", sent.value) for x in batch.column(1)), strict=True)) or [[]] * 9
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(got, kinds, strict=True))], ["doc_id", *names])
 
-    return rows.mapInArrow(judged, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content_share double, base_failed boolean, kept boolean")
+    return rows.mapInArrow(judged, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content_share double, base_failed boolean, kept boolean, marks string")
+

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakit.llm.common import lean, sample_rows
+from stratakit.llm.common import checkpointed, in_workers, lean, sample_rows
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -22,6 +22,7 @@ TOKEN_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/
 JOINTS = TOKEN_BYTES[62:]
 ACCESS_LEAST, HEX_LEAST, ASSIGN_LEAST, TOKEN_LEAST = 16, 32, 8, 20
 REDACTED = "[REDACTED]"
+PLAIN = (b"identifier", b"configuration", b"document", b"directory")
 
 IN_TOKEN = np.zeros(256, bool)
 IN_TOKEN[list(TOKEN_BYTES)] = True
@@ -149,22 +150,24 @@ def ordinary_names(words: list[bytes], n: int = 6000, seed: int = 12) -> list[by
     return out
 
 
+def labelled(text: bytes) -> list[tuple[bytes, bool]]:
+    """(token, random?) of a text: values that the fixed patterns find are random, words that they leave are ordinary."""
+    found, cut = base_spans(text), text
+    out = {(x, True) for a, kind, b in found if kind for x in re.findall(rb"[A-Za-z0-9+/_=-]{16,}", text[a:b])}
+    for a, _, b in reversed(found):
+        cut = cut[:a] + b" " + cut[b:]
+    out |= {(x, False) for x in re.findall(rb"[A-Za-z0-9+/_=-]{3,}", cut) if len(x) < 40 and not re.search(rb"[0-9]", x)}
+    return sorted(out)
+
+
 def fit(docs: DataFrame, most: int = 600, most_words: int = 60_000, threshold: float = 0.7) -> SecretModel:
-    """Fit on at most ``most`` documents: values that the fixed patterns find are labelled random, words that they
-    leave are ordinary. Seeded strings of both kinds join them, so an empty sample still gives a model."""
+    """Fit on labelled tokens of at most ``most`` documents (see ``labelled``), at most ``most_words`` distinct ones of
+    each label, those with the smallest hash. Seeded strings of both kinds join them, so an empty sample still gives a
+    model. Texts stay with the executors; only tokens reach the driver. Repeated doc_ids: see ``sample_rows``."""
     rows = sample_rows(docs.select("doc_id", F.col("text").cast("binary").alias("text")).where("text is not null"), "doc_id", ["text"], most)
-    random, ordinary = seeded_secrets(), {b"identifier", b"configuration", b"document", b"directory"}
-    for r in rows:
-        text = bytes(r["text"])
-        found = base_spans(text)
-        for a, kind, b in found:
-            random += [x for x in re.findall(rb"[A-Za-z0-9+/_=-]{16,}", text[a:b]) if kind]
-        cut = text
-        for a, _, b in reversed(found):
-            cut = cut[:a] + b" " + cut[b:]
-        if len(ordinary) < most_words:
-            ordinary.update(x for x in re.findall(rb"[A-Za-z0-9+/_=-]{3,}", cut) if len(x) < 40 and not re.search(rb"[0-9]", x))
-    return SecretModel(random, ordinary_names(sorted(ordinary)), threshold)
+    tokens = checkpointed(in_workers(rows, lambda _, text: labelled(text), "token binary, random boolean").distinct())
+    random, ordinary = ([bytes(r[0]) for r in tokens.where(F.col("random") == kind).orderBy(F.xxhash64("token"), "token").limit(most_words).select("token").collect()] for kind in (True, False))
+    return SecretModel(seeded_secrets() + random, ordinary_names(sorted({*ordinary, *PLAIN})), threshold)
 
 
 def listed(found: list[tuple[int, int, int]]) -> str:

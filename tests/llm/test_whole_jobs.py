@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -10,6 +11,7 @@ import pytest
 import corpus_pipeline
 from stratakit.llm import jaccard, language, quality, secrets, vectors
 from stratakit.llm.components import Forest
+from stratakit.llm.queries import QUERIES
 
 
 def make(spark, rows):
@@ -136,8 +138,8 @@ def test_audit_sees_pairs_beside_a_dense_group(monkeypatch):
             yield q[keep], h[keep]
 
     monkeypatch.setattr(vectors, "linked", narrow)
-    rows = pa.table({"node": np.arange(len(v)), "size": np.ones(len(v), np.int64), "home": np.ones(len(v), bool), "v": pa.array(v.tolist(), pa.list_(pa.float64()))})
-    found = vectors._shard(rows, 0.98, 0.995).to_pylist()
+    rows = pa.table({"node": np.arange(len(v)), "code": np.arange(len(v)), "size": np.ones(len(v), np.int64), "v": pa.array(v.tolist(), pa.list_(pa.float64()))})
+    found = vectors._inside(rows, 0.98, 0.995, True).to_pylist()
     assert {r["node"]: r["n"] for r in found if r["node"] is not None} == {k: 299 if k < 300 else 1 for k in range(len(v))}
 
 
@@ -145,12 +147,116 @@ def test_audit_sees_pairs_beside_a_dense_group(monkeypatch):
 
 
 def test_all_lines_of_labelled_texts_train_the_line_model(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(quality.LineCRF, "train", classmethod(lambda cls, sequences: seen.extend(sequences)))
+    seen, real = [], quality.line_states
+    monkeypatch.setattr(quality, "line_states", lambda good, bad: seen.append((good, bad)) or real(good, bad))
     lines = {1: 1000, 2: 300, 3: 5, 4: 700}
     docs = make(spark, [(k, "\n".join(f"line {i} of many" for i in range(n)), "en", "s0") for k, n in lines.items()])
     quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int"))
-    assert sum(len(x) for x, _ in seen) == 1305 and sum(int(y.sum()) for _, y in seen) == 1005
+    (good, bad), = seen
+    assert sum(map(len, good)) == 1005 and sum(map(len, bad)) == 300
+
+
+def test_segments_of_a_longer_text_are_spread_over_all_of_it():
+    assert quality.segments(0, 4) == [] and quality.segments(1, 4) == [(0, 1)] and quality.segments(130, 4) == [(0, 64), (64, 128), (128, 130)]
+    assert quality.segments(64 * 100 + 1, 4) == [(0, 64), (1600, 1664), (3200, 3264), (4800, 4864)]
+
+
+JUNK = ["home | about | contact | search | login", "CLICK!! HERE!! NOW!! WIN!!", "### *** ### $$$ %%%", "buy | sell | rent | share | print | mail"]
+PROSE = ["The river rises in the northern hills and runs for ninety miles to the sea.", "Most of the old mills along its banks were closed when the railway came.", "A few of them have been turned into small museums since then.", "Walkers follow the towpath from one village to the next in summer."]
+
+
+def test_lines_of_a_mixed_text_are_told_apart(spark):
+    """A model fitted on the labelled documents marks junk and prose inside one text, at different places of it."""
+    sf = "/root/testdata/sf0.01"
+    model = quality.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {1: JUNK + PROSE, 2: PROSE + JUNK, 3: PROSE[:2] + JUNK[:2] + PROSE[2:] + JUNK[2:], 4: PROSE, 5: JUNK, 6: PROSE + JUNK[:1]}
+    found = {r["doc_id"]: r for r in quality.quality_rules(make(spark, [(k, "\n".join(t), "en", "s0") for k, t in texts.items()]), model).collect()}
+    for k, t in texts.items():
+        assert found[k]["marks"] == "".join("1" if x in PROSE else "0" for x in t)
+        words = [len(x.split()) for x in t]
+        want = sum(n for n, x in zip(words, t, strict=True) if x in PROSE) / sum(words)
+        assert found[k]["content_share"] == pytest.approx(want)
+        assert found[k]["kept"] == (not found[k]["base_failed"] and want >= model.least_share)
+    assert all(0 < found[k]["content_share"] < 1 for k in (1, 2, 3, 6))
+
+
+def test_verdicts_on_documents_that_were_not_fitted(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, labels.where("doc_id % 2 = 0"), most=600)
+    judged = quality.quality_rules(docs, model).join(labels.where("doc_id % 2 = 1").select("doc_id", "quality"), "doc_id").where("not base_failed").collect()
+    good, bad = ([r["kept"] for r in judged if r["quality"] == q] for q in (1, 0))
+    assert np.mean(good) > 0.98 and np.mean(bad) < 0.05 and len(bad) > 50
+    assert any(0 < r["content_share"] < 1 for r in judged)
+
+
+def test_gradient_of_the_line_model_is_that_of_its_likelihood():
+    """After one round of Adam each weight moved by the rate against the sign of a gradient taken by enumeration."""
+    rng = np.random.default_rng(4)
+    nf = len(quality.FEATURES)
+    seqs = [((rng.random((n, nf)) < 0.3).astype(float), rng.integers(0, 2, n)) for n in (1, 2, 4, 5)]
+    weights = [1.0, 3.0, 2.0, 1.0]
+
+    def loss(theta):
+        emit, step, start = theta[:2 * nf].reshape(nf, 2), theta[2 * nf:-2].reshape(2, 2), theta[-2:]
+        total = 0.0
+        for (x, y), w in zip(seqs, weights, strict=True):
+            e, n = x @ emit, len(y)
+            score = lambda p: start[p[0]] + sum(e[k, p[k]] for k in range(n)) + sum(step[p[k], p[k + 1]] for k in range(n - 1))  # noqa: B023, E731
+            total += w / 7 * (np.log(sum(np.exp(score([s >> k & 1 for k in range(n)])) for s in range(1 << n))) - score(y.tolist()))
+        return total
+
+    one = quality.LineCRF.train(seqs, weights, rounds=1, rate=0.1, ridge=0.0)
+    moved = np.concatenate((one.emit.ravel(), one.step.ravel(), one.start))
+    two = quality.LineCRF.train(seqs, weights, rounds=2, rate=0.1, ridge=0.0)
+    again = np.concatenate((two.emit.ravel(), two.step.ravel(), two.start))
+    m = v = 0.0
+    theta = np.zeros(2 * nf + 6)
+    for r, want in ((1, moved), (2, again)):
+        g = np.array([(loss(theta + d) - loss(theta - d)) / 2e-5 for d in np.eye(len(theta)) * 1e-5])
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        theta = theta - 0.1 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.999**r)) + 1e-8)
+        some = np.abs(g) > 1e-4
+        assert some.sum() > 20 and np.allclose(theta[some], want[some], atol=1e-3)
+        theta = want
+
+
+def test_quality_without_anything_to_learn(spark, nothing, odd):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    some = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, 0), (None, 1, 1), (3, 7, 0), (999, 0, 0), (5, 0, 0), (5, 0, 1), (22, 1, 0)], "doc_id long, quality int, toxic int")
+    for docs, labels in ((nothing, none), (nothing, some), (odd, none)):
+        assert quality.fit(docs, labels).decode(np.zeros((2, len(quality.FEATURES)))).tolist() == [1, 1]
+    got = quality.quality_rules(odd, quality.fit(odd, some))
+    assert got.count() == odd.count() and got.where("content_share < 0 or content_share > 1").count() == 0
+
+
+def test_base_columns_of_quality_equal_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(BASE_SQL).fetchall()
+    got = QUERIES["op7_crf_quality"](spark, sf).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+BASE_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS k FROM texts, unnest(range(1, len(ws) - 6)) AS u(i)
+), again AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n FROM again, unnest(range(0, 8)) AS u(j) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM texts
+), twice AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+)
+SELECT t.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+       CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(d.n, 0) AS BIGINT) AS n_dup_lines,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, len(ws) < 20 OR 100 * coalesce(c.n, 0) > 30 * len(ws) AS base_failed
+FROM texts t LEFT JOIN covered c ON c.doc_id = t.doc_id LEFT JOIN twice d ON d.doc_id = t.doc_id
+"""
 
 
 # pipeline: what the language stage rejects
