@@ -370,20 +370,34 @@ def test_sums_do_not_depend_on_pieces(monkeypatch, documents):
 
 
 def plain_links(rows, least=0.98):
+    """(vec_id, other rows linked, smallest vec_id reachable) by brute force; rows of one vec_id share a node."""
     ok = []
-    for k, (i, label, v) in enumerate(rows):
+    for k, (_, label, v) in enumerate(rows):
         if label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
             ok.append((k, label, np.array(v, float)))
-    links = defaultdict(set)
+    links, near = defaultdict(set), defaultdict(set)
     for (a, la, x), (b, lb, y) in combinations(ok, 2):
-        if la == lb and len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= least:
+        if la == lb and len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= least - 1e-12:
             links[a].add(b)
             links[b].add(a)
+        if rows[a][0] is not None and rows[a][0] == rows[b][0]:
+            near[a].add(b)
+            near[b].add(a)
     comp = {k: rows[k][0] for k in range(len(rows))}
     for _ in rows:
-        for a in list(links):
-            comp[a] = min([comp[a], *(comp[b] for b in links[a])])
-    return [(rows[k][0], len(links[k]), comp[k]) for k in range(len(rows))]
+        before = dict(comp)
+        for a, _, _ in ok:
+            comp[a] = min((comp[b] for b in {a} | links[a] | near[a] if comp[b] is not None), default=None)
+        if before == comp:
+            break
+    return sorted(((rows[k][0], len(links[k]), comp[k]) for k in range(len(rows))), key=str)
+
+
+def found_links(df, **options):
+    return sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.embedding_components(df, **options).collect()), key=str)
+
+
+VECTOR_COLUMNS = "vec_id long, label int, embedding array<float>, node long, size long, code long, v string, shard int"
 
 
 @pytest.mark.parametrize("shard_rows", [8192, 60])
@@ -395,12 +409,52 @@ def test_vectors(spark, shard_rows):
         rows.append((1000 - k, k % 2, [float(np.float32(x)) for x in v]))
     rows += [(2000 + k, 0, rows[4][2]) for k in range(30)]
     rows += [(1, None, rows[0][2]), (2, 0, None), (3, 0, []), (4, 0, [0.0] * 16), (5, 0, [None, *rows[0][2][1:]]), (6, 0, [float("nan"), *rows[0][2][1:]]), (7, 0, [float("inf"), *rows[0][2][1:]]), (8, 0, [1.0, 2.0]), (9, 0, [2.0, 4.0])]
-    df = spark.createDataFrame([(i, x, v, 1, 2) for i, x, v in rows], "vec_id long, label int, embedding array<float>, node long, size long")
-    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.embedding_components(df, shard_rows=shard_rows).collect())
-    assert got == sorted(plain_links(rows))
+    df = spark.createDataFrame([(*r, 1, 2, 3, "x", 4) for r in rows], VECTOR_COLUMNS)
+    assert found_links(df, shard_rows=shard_rows) == plain_links(rows)
     assert vectors.embedding_components(df.limit(0)).count() == 0
 
 
+def test_vectors_with_repeated_and_null_ids(spark):
+    """Repeated rows, one vec_id on different vectors and labels, null vec_ids, and cosines at the threshold itself."""
+    e, f, g, h = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0], [0.0, 0.0, 0.0, 1.0]
+    rows = [(3, 0, e), (3, 0, f), (5, 0, f), (9, 0, e), (9, 0, e), (1, 1, g), (9, 1, g), (None, 0, f), (None, 0, h), (None, 0, h), (None, 2, e), (7, 2, [-x for x in e]), (7, None, e), (2, 0, None), (4, 4, [3.0, 4.0]), (6, 4, [3.0, 4.0])]
+    df = spark.createDataFrame([(*r, 1, 2, 3, "x", 4) for r in rows], VECTOR_COLUMNS)
+    got = found_links(df)
+    assert got == plain_links(rows)
+    assert (None, 1, None) in got and (None, 2, 1) in got and (5, 2, 1) in got
+    edge = [(1, 0, [1.0, 0.0]), (2, 0, [0.6, 0.8]), (3, 0, [0.6, 0.75])]
+    assert found_links(spark.createDataFrame([(*r, 1, 2, 3, "x", 4) for r in edge], VECTOR_COLUMNS), least=0.6) == plain_links(edge, 0.6)
+
+
+def test_rare_links_over_many_shards(spark):
+    """A label of six shards in which few vectors have a partner, mostly in another shard, besides one dense group."""
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(3000, 48))
+    for k in range(60):
+        x[2 * k + 1] = x[2 * k] + rng.normal(size=48) * 0.1
+    x[2000:2400] = x[2000] + rng.normal(size=(400, 48)) * 0.08
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(k, 0, row.tolist()) for k, row in enumerate(x)], "vec_id long, label int, embedding array<float>")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    true = (u @ u.T >= 0.98).sum(axis=1) - 1
+    got = dict((r["vec_id"], r["n_links"]) for r in vectors.embedding_components(df, shard_rows=500).collect())
+    rare = [k for k in range(120) if true[k]]
+    assert len(rare) > 90 and np.mean([got[k] == true[k] for k in rare]) >= 0.99
+    assert all(got[k] <= true[k] for k in got) and sum(got.values()) >= 0.995 * true.sum()
+
+
+def test_audit_counts_true_links_and_widens():
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(2000, 32))
+    x[1::40] = x[::40] + rng.normal(size=(50, 32)) * 0.05
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    graph = vectors.HNSW(x, degree=2, beam=2)  # a poor graph, which narrow beams miss links of
+    beam, queries, links, recall = vectors.audited(graph, x, x, True, 0.98, 0.995)
+    assert queries == links >= 64 and beam > 16 and recall >= 0.995
+    found = {(q, h) for part in vectors.linked(graph, x, x, 0.98, beam) for q, h in zip(*map(np.ndarray.tolist, part), strict=True) if q != h}
+    assert len(found) >= 0.98 * ((x @ x.T >= 0.98).sum() - len(x))
+
+
 def test_graph_recall_against_brute_force():
     x = np.random.default_rng(6).normal(size=(1500, 32))
     x /= np.linalg.norm(x, axis=1)[:, None]
@@ -412,8 +466,8 @@ def test_graph_recall_against_brute_force():
 
 def test_whole_table_recall(spark, sf):
     rows = [(r["vec_id"], r["label"], [float(x) for x in r["embedding"]]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
-    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in QUERIES["op9_hnsw_dedup"](spark, sf).collect())
-    assert got == sorted(plain_links(rows))
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in QUERIES["op9_hnsw_dedup"](spark, sf).collect()), key=str)
+    assert got == plain_links(rows)
 
 
 # 10 secrets
