@@ -79,26 +79,36 @@ def buckets_for(df: DataFrame, bytes_each: int, least: int = 16) -> int:
 
 
 def numbered(df: DataFrame, group: list[str], order: list[Column], spread: Column, out: str, buckets: int) -> DataFrame:
-    """Number the rows of every group without gaps from 0, with no task that holds a whole group.
+    """Number the rows of every group without gaps from 0, with no task that holds a whole group (see ``running``)."""
+    return running(df, group, order, spread, F.lit(1), out, buckets)
+
+
+def running(df: DataFrame, group: list[str], order: list[Column], spread: Column, weight: Column, out: str, buckets: int) -> DataFrame:
+    """The sum of ``weight`` over all rows of a group that come before a row, with no task that holds a whole group.
 
     ``spread`` must be a function of the row that deals rows evenly (a hash); rows are ordered by
-    (bucket of ``spread``, ``order``). Two shuffles: counts per bucket, then a window inside a bucket.
-    Rows that tie in ``order`` are numbered in any order.
+    (bucket of ``spread``, ``order``). Two shuffles: sums per bucket, then a window inside a bucket. Sums of the
+    buckets before one are taken in two levels, so that many buckets of one group are no single task's either.
+    Rows that tie in ``order`` come in any order. Null is a group like any other.
     """
-    dealt = df.withColumn("__b", F.pmod(spread, F.lit(buckets)).cast("int"))
-    per = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    if not group:  # at most ``buckets`` rows meet here
-        per = Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    starts = starts.select(*group, "__b", F.coalesce(F.sum("__n").over(per), F.lit(0)).alias("__start"))
-    renamed = starts.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__b").alias("__bb"), "__start")
-    within = Window.partitionBy(*group, "__b").orderBy(*order)
-    rows = dealt.withColumn("__r", F.row_number().over(within))
-    on = rows["__b"] == renamed["__bb"]
-    for i, g in enumerate(group):
-        on = on & rows[g].eqNullSafe(renamed[f"__g{i}"])
-    joined = rows.join(renamed, on)
-    return joined.withColumn(out, (F.col("__start") + F.col("__r") - 1).cast("long")).select(*df.columns, out)
+    dealt = df.withColumn("__b", F.pmod(spread, F.lit(buckets)).cast("int")).withColumn("__w", weight.cast("long"))
+    wide = max(1, math.isqrt(buckets))
+    upper = (F.col("__b") / wide).cast("int")
+    sums = dealt.groupBy(*group, "__b").agg(F.sum("__w").alias("__n")).withColumn("__u", upper)
+    before = lambda *by: Window.partitionBy(*(by or (F.lit(0),))).rowsBetween(Window.unboundedPreceding, -1)
+    tops = sums.groupBy(*group, "__u").agg(F.sum("__n").alias("__m"))
+    tops = tops.select(*[F.col(g).alias(f"__t{i}") for i, g in enumerate(group)], F.col("__u").alias("__uu"), F.coalesce(F.sum("__m").over(before(*group).orderBy("__u")), F.lit(0)).alias("__above"))
+    starts = sums.withColumn("__low", F.coalesce(F.sum("__n").over(before(*group, "__u").orderBy("__b")), F.lit(0)))
+    starts = starts.join(tops, _alike([F.col(g) for g in group], "__t") & (F.col("__u") == F.col("__uu")))
+    starts = starts.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__b").alias("__bb"), (F.col("__low") + F.col("__above")).alias("__start"))
+    rows = dealt.withColumn("__r", F.coalesce(F.sum("__w").over(before(*group, "__b").orderBy(*order)), F.lit(0)))
+    joined = rows.join(starts, _alike([rows[g] for g in group], "__g") & (rows["__b"] == starts["__bb"]))
+    return joined.withColumn(out, (F.col("__start") + F.col("__r")).cast("long")).select(*df.columns, out)
+
+
+def _alike(columns: list[Column], prefix: str) -> Column:
+    """Every column equals the one of its place, null equal to null."""
+    return reduce(lambda x, y: x & y, [c.eqNullSafe(F.col(f"{prefix}{i}")) for i, c in enumerate(columns)], F.lit(True))
 
 
 def sample_rows(df: DataFrame, key: str, columns: list[str], most: int) -> DataFrame:
@@ -149,5 +159,25 @@ def with_class(rows: DataFrame, classes: DataFrame, on: list[str], size: str, to
     return met.select(*columns).union(rest.select(*columns))
 
 
+def kept_rows(docs: DataFrame, components: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id names its component in (doc_id, component_id), one for each; null doc_ids stay.
+
+    Of rows that share a doc_id, the one whose text has the smallest hash stays; of equal texts, the one whose other
+    columns have; rows that are equal in all are alike. A doc_id with over 1/HOT of all rows is settled before its
+    rows travel.
+    """
+    ids = checkpointed(components.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")))
+    total = ids.agg(F.sum("__n")).first()[0] or 0
+    hot = F.broadcast(ids.where(F.col("__n") * HOT > total).select(F.col("doc_id").alias("__hot")))  # fewer than HOT
+    rest = ids.where(F.col("__n") * HOT <= total).select("doc_id")
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind]
+    row = F.struct(*docs.columns)
+    first = F.min_by(row, F.struct(F.xxhash64("text"), F.xxhash64(*plain))).alias("__row")
+    key = F.col("doc_id").cast("long")
+    common = docs.join(hot, key == F.col("__hot"), "left_semi").groupBy(key.alias("__id")).agg(first)
+    single = docs.join(hot, key == F.col("__hot"), "left_anti").withColumn("__id", key).join(rest.withColumnRenamed("doc_id", "__id"), "__id", "left_semi").groupBy("__id").agg(first)
+    return common.union(single).select(*[F.col(f"__row.{c}").alias(c) for c in docs.columns]).union(docs.where("doc_id is null"))
+
+
 #: A class with over 1/HOT of all rows is hot.
 HOT = 1000

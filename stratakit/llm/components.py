@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakit.llm.common import checkpointed
+from stratakit.llm.common import checkpointed, with_class
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -18,21 +18,21 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     a, b = F.greatest("a", "b"), F.least("a", "b")
     now = checkpointed(edges.where("a <> b").select(a.alias("a"), b.alias("b")).distinct())
-    before = None
+    before, rows = None, now.count()
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large-star: every larger neighbour of a node is moved to the node's smallest neighbour (or itself)
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = now.select(F.col("a").alias("v"), F.col("b").alias("a")).join(least, "a").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = with_class(now.select(F.col("a").alias("v"), F.col("b").alias("a")), least, ["a"], "n", 2 * rows, ["m"]).select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = checkpointed(large.where("a <> b").distinct())
         # small-star: a node and its smaller neighbours are moved to the smallest of them
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b")))
+        down = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = with_class(large, down, ["a"], "n", rows, ["m"]).select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b")))
         now = checkpointed(small.where("a <> b").distinct())
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(mark) == before:
             break
-        before = tuple(mark)
+        before, rows = tuple(mark), mark[0]
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
