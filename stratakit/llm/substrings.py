@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakit.llm.common import buckets_for, lean
+from stratakit.llm.common import buckets_for, checkpointed, in_workers, lean, sample_rows
 
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 CHUNK = 16 << 20  # bytes of text whose super-k-mers are packed together
@@ -54,13 +54,54 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return x
 
 
-def runs(words: list[bytes], window: int, m: int, known: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Super-k-mers: (minimiser, first window, end of windows) of maximal runs of windows with one minimiser."""
-    least = sliding_min(rolled(hashed(words, known), m), window - m + 1)
+TOP = np.uint64(1 << 63)
+TABLE = 1 << 20  # places of the table of frequent minimisers
+
+
+def runs(words: list[bytes], window: int, m: int, known: WordHashes, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Super-k-mers: (key, first window, end of windows) of maximal runs of windows with one key.
+
+    The key is the window's minimiser: the least hash of its ``m``-word sequences that are not ``frequent``. A window
+    of frequent ones alone has the least hash of its sequences of two thirds of a window instead. So the key depends
+    on the window's words alone, equal windows meet, and a sequence that is everywhere draws no windows to itself.
+    """
+    h = hashed(words, known)
+    parts = rolled(h, m)
+    if frequent is not None:
+        common = frequent[(parts & np.uint64(TABLE - 1)).astype(np.int64)]
+        parts = np.where(common, parts | TOP, parts & ~TOP)
+    least = sliding_min(parts, window - m + 1)
+    if frequent is not None:
+        heavy = least >= TOP
+        if heavy.any():
+            long = max(m, 2 * window // 3)
+            least = np.where(heavy, sliding_min(rolled(h, long), window - long + 1) | TOP, least)
     first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
     return least[first], first, np.append(first[1:], len(least))
 
 
+def frequent_sequences(rows: DataFrame, m: int, buckets: int, most: int = 4096, most_kept: int = TABLE // 16) -> np.ndarray | None:
+    """A table, by the low bits of the hash, of ``m``-word sequences that would draw more than a bucket's share.
+
+    Taken from at most ``most`` documents; counted by the executors, and at most ``most_kept`` sequences reach the
+    driver, the most frequent. Only the evenness of buckets depends on it, never a result.
+    """
+
+    def counted(_, text):
+        words = text.split()
+        if len(words) >= m:
+            yield from zip(*(x.tolist() for x in np.unique(rolled(hashed(words, WordHashes()), m).view(np.int64), return_counts=True)), strict=True)
+
+    counts = checkpointed(in_workers(sample_rows(rows, "doc_id", ["text"], most), counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where((F.col("n") > 3) & (F.col("n") * 2 * buckets > total)).orderBy(F.desc("n"), "h").limit(most_kept).select("h").collect()
+    if not found:
+        return None
+    table = np.zeros(TABLE, bool)
+    table[np.array([r[0] for r in found], np.int64) & (TABLE - 1)] = True
+    return table
+
+
 class _Bucket:
     """What one chunk sends to one bucket: packed strings with their places, and verdicts reached already."""
 
@@ -101,7 +142,7 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     return np.cumsum(doc), tag.astype(np.int64), place, done.reshape(-1, 4), body.split(b"\n") if n else []
 
 
-def _scatter(batches: Iterator[pa.RecordBatch], window: int, m: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _scatter(batches: Iterator[pa.RecordBatch], window: int, m: int, buckets: int, frequent: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
     out: dict[int, _Bucket] = defaultdict(_Bucket)
     seen: dict[bytes, tuple[int, int, int, int]] = {}
@@ -122,7 +163,7 @@ def _scatter(batches: Iterator[pa.RecordBatch], window: int, m: int, buckets: in
                 continue
             joined = b" ".join(words)
             starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)))
-            least, first, end = runs(words, window, m, known)
+            least, first, end = runs(words, window, m, known, frequent)
             where = (least % np.uint64(buckets)).tolist()
             ends = (starts[end + window - 1] - 1).tolist()
             for bucket, i, j, a, b in zip(where, first.tolist(), end.tolist(), starts[first].tolist(), ends, strict=True):
@@ -229,11 +270,13 @@ def tag_of_text():
 def repeated_spans(docs: DataFrame, window: int = 13, m: int = 3) -> DataFrame:
     """(doc_id, tag, spans): word spans to remove, as little-endian int32 pairs; ``tag`` is a hash of the text.
 
-    The number of buckets grows with the input, so that a bucket's size does not.
+    The number of buckets grows with the input, so that a bucket's size does not. Sequences that a sample finds too
+    often to be a bucket are no minimisers (``runs``), so one of them in most documents makes no hot bucket.
     """
     rows = lean(docs).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), tag_of_text(), F.col("text").cast("binary").alias("text"))
     buckets = buckets_for(rows, 2 << 20, 64)
-    sent = rows.mapInArrow(lambda it: _scatter(it, window, m, buckets), "bucket int, blob binary")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_sequences(rows.select("doc_id", "text"), m, buckets))  # TABLE bytes
+    sent = rows.mapInArrow(lambda it: _scatter(it, window, m, buckets, frequent.value), "bucket int, blob binary")
     return sent.groupBy("bucket").applyInArrow(lambda t: _gather(t, window), "doc_id long, tag long, spans binary")
 
 
