@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratakit.llm.common import WORD, checkpointed
+from stratakit.llm.common import WORD, buckets_for, checkpointed, numbered, running, stored, with_class
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -26,16 +26,16 @@ def ordered_index(df: DataFrame, order: list, out: str) -> DataFrame:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(source, source_size, target): ``share`` of all words dealt by weight, none above ``most`` times its source.
+    """(source, source_size, target, n): ``share`` of all words dealt by weight, none above ``most`` times its source.
 
-    Sources take the weights in turn, by code point, null last. Each round fixes the sources that the water
+    n is the source's number of rows. Sources take the weights in turn, by code point, null last. Each round fixes the sources that the water
     level lifts over their cap and deals the rest of the words to the others; three sums reach the driver.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     ranked = ordered_index(totals, [F.col("source").isNull(), F.col("source")], "rank")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("double")
     cap = F.col("source_size") * F.lit(float(most))
-    sources = checkpointed(ranked.select("source", "source_size", weight.alias("weight"), cap.alias("cap")))
+    sources = checkpointed(ranked.select("source", "source_size", "n", weight.alias("weight"), cap.alias("cap")))
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     level, held = 0.0, -1
     while True:
@@ -47,7 +47,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     target = F.least(F.col("cap"), F.col("weight") * F.lit(level))
     if not open_weight:
         target = F.col("cap")
-    return sources.select("source", "source_size", target.alias("target"))
+    return sources.select("source", "source_size", target.alias("target"), "n")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, bucket_rows: int = 4000) -> DataFrame:
@@ -56,27 +56,25 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
     A source's target is met by whole repetitions of all its documents and one more of a seeded part: in the
     order of md5(seed, doc_id), documents are taken whole until the target is reached; the document at the border
     gives its first ``part`` words. taken = copies * size + part, so each source's sum is its rounded target.
-    Running sums are taken inside hash buckets of a source and over the buckets' sums, so a hot source is no
-    hot task. Null text has size 0; null sources form one source; a null doc_id is ordered as an empty string;
+    Running sums are taken inside key ranges of a source and, in two levels, over the ranges' sums (``running``), so
+    a hot source is no hot task. Rows with one doc_id, or none, lie in one range. Null text has size 0; null sources form one source; a null doc_id is ordered as an empty string;
     repeated rows are taken one by one. Other columns are not read.
     """
     sizes = checkpointed(word_counts(docs))
     key = F.md5(F.concat(F.lit(f"mix-{seed}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    digits = next(d for d in range(1, 9) if sizes.count() <= bucket_rows * 16**d or d == 8)
-    dealt = sizes.withColumn("__k", key).withColumn("__b", F.substring("__k", 1, digits))
-    sums = dealt.groupBy("source", "__b").agg(F.sum("size").alias("__sum"))
-    before = Window.partitionBy("source").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("__start", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
-    targets = source_targets(sizes, weights, share, most).withColumnRenamed("source", "__s")
-    sums = sums.join(targets, F.col("source").eqNullSafe(F.col("__s")))
-    sums = sums.select(F.col("source").alias("__s"), F.col("__b").alias("__bb"), "__start", "source_size", "target")
-    inside = Window.partitionBy("source", "__b").orderBy("__k", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("__in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = placed.join(sums, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__bb")))
+    buckets = max(1, min(1 << 28, -(-sizes.count() // bucket_rows)))
+    # buckets in the order of the key: its first seven digits, scaled
+    place = F.floor(F.conv(F.substring("__k", 1, 7), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 28)).cast("long")
+    placed = running(sizes.withColumn("__k", key), ["source"], [F.col("__k"), F.col("size")], place, F.col("size"), "__before", buckets)
+    # a null source has a key too
+    named = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-"))
+    targets = checkpointed(source_targets(sizes, weights, share, most)).withColumn("__s", named)
+    total = targets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = with_class(placed.withColumn("__s", named), targets, ["__s"], "n", total, ["source_size", "target"])
     words = F.round("target").cast("long")
     copies = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(F.lit(0)).cast("long")
     rest = words - F.col("copies") * F.col("source_size")
-    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("__start") - F.col("__in")))
+    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("__before")))
     rows = rows.withColumn("copies", copies).withColumn("part", part)
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", "part", (F.col("copies") * F.col("size") + F.col("part")).alias("taken"))
 
@@ -91,12 +89,20 @@ def mix_rows(docs: DataFrame, **options) -> DataFrame:
     whole = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies") + F.when(2 * F.col("part") >= F.col("size"), 1).otherwise(0))
     # rows that share a doc_id, source and size are alike to the plan: they share the repetitions they get
     key = lambda size: F.concat_ws(":", size, F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-")))
-    times = plan.groupBy(key(F.col("size")).alias("__key")).agg(F.sum(whole).alias("__t"), F.count(F.lit(1)).alias("__n"))
+    times = checkpointed(plan.groupBy(key(F.col("size")).alias("__key")).agg(F.sum(whole).alias("__t"), F.count(F.lit(1)).alias("__n")))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("__key", key(size)).join(times, "__key")
-    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__key").orderBy("__key")))
-    own = F.expr("cast(__t div __n as int)") + F.when(F.col("__r") <= F.col("__t") % F.col("__n"), 1).otherwise(0)
-    again = rows.withColumn("__own", own).where("__own > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__own"))))
+    total = times.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    rows = with_class(docs.withColumn("__key", key(size)), times.where("__t > 0"), ["__key"], "__n", total, ["__t", "__n"]).where("__t > 0")
+    if not times.where("__n > 1 and __t % __n > 0").isEmpty():
+        # some of the alike rows are taken once more: those are numbered, stored first so that ids stand still
+        rows = stored(rows.withColumn("__id", F.monotonically_increasing_id()))
+        odd = F.expr("__n > 1 and __t % __n > 0")
+        some = numbered(rows.where(odd), ["__key"], [F.col("__id")], F.xxhash64("__id"), "__r", buckets_for(rows, 16 << 20))
+        rows = rows.where(~odd).withColumn("__r", F.lit(0).cast("long")).unionByName(some)
+        own = F.expr("__t div __n + if(__r < __t % __n, 1, 0)")
+    else:
+        own = F.expr("__t div __n")
+    again = rows.withColumn("__own", own.cast("int")).where("__own > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__own"))))
     return again.select(*docs.columns)
 
 
