@@ -84,10 +84,15 @@ class Bands:
 
 
 class Templates:
-    """The templates' shingles and the band keys of all their windows; small enough for every executor."""
+    """The templates' shingles and the band keys of all their windows; small enough for every executor.
+
+    A text that holds a share c of a template's shingles holds at least c of those of some window of it. The text's
+    window there may have other shingles in the place of the rest, so the two windows are alike by c / (2 - c) at
+    least: that is the similarity at which bands must meet.
+    """
 
     def __init__(self, texts: dict[str, str] = TEMPLATES, similarity: float = 0.8):
-        self.names, self.similarity, self.bands = sorted(texts), similarity, Bands(similarity)
+        self.names, self.similarity, self.bands = sorted(texts), similarity, Bands(similarity / (2 - similarity))
         self.words = [plain_words(texts[n].encode()) for n in self.names]
         short = [n for n, w in zip(self.names, self.words, strict=True) if len(w) < SHINGLE]
         if short:
@@ -108,7 +113,11 @@ class Templates:
 
 
 def matches(text: bytes, templates: Templates, known: WordHashes) -> list[tuple[int, int, int, float]]:
-    """(template, first word, end word, containment) of verified places, at most one for overlapping candidates."""
+    """(template, first word, end word, containment) of each place of a template that the whole text contains.
+
+    containment counts the template's shingles over the whole text. A place holds enough of them by itself; if none
+    does, since the template is split, there is one match from the first to the last shingle.
+    """
     words = plain_words(text)
     if len(words) < SHINGLE:
         return []
@@ -124,15 +133,19 @@ def matches(text: bytes, templates: Templates, known: WordHashes) -> list[tuple[
     out = []
     for t, places in candidates.items():
         size, wanted, end = len(templates.words[t]), templates.shingles[t], -1
+        every = [(i, s) for i in range(len(words) - SHINGLE + 1) if (s := b" ".join(words[i:i + SHINGLE])) in wanted]
+        share, found = len({s for _, s in every}) / len(wanted), []
+        if share < templates.similarity:
+            continue
         for p in sorted(places):
             if p < end:
                 continue
-            a, b = max(0, p - size), min(len(words), p + size + templates.window[t])
-            here = [(i, s) for i in range(a, b - SHINGLE + 1) if (s := b" ".join(words[i:i + SHINGLE])) in wanted]
-            share = len({s for _, s in here}) / len(wanted)
-            if share >= templates.similarity:
-                out.append((t, here[0][0], here[-1][0] + SHINGLE, share))
+            a, b = p - size, p + size + templates.window[t] - SHINGLE
+            here = [(i, s) for i, s in every if a <= i <= b]
+            if len({s for _, s in here}) >= templates.similarity * len(wanted):
                 end = here[-1][0] + SHINGLE
+                found.append((t, here[0][0], end, share))
+        out += found or [(t, every[0][0], every[-1][0] + SHINGLE, share)]
     return sorted(out, key=lambda m: (m[1], m[0]))
 
 
