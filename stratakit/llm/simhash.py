@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakit.llm.common import checkpointed, lean
+from stratakit.llm.common import checkpointed, kept_rows, lean, with_class
 from stratakit.llm.components import Forest, connected_components
 
 SEED = 42
@@ -180,22 +180,22 @@ def simhash_components(docs: DataFrame, bits: int = 4, shingle: int = 4, shard_r
     returned as often as they came. Columns of ``docs`` other than doc_id and text are not read.
     """
     prints = checkpointed(fingerprints(docs, shingle))
-    classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null").select("node", "fp"))
+    classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")).where("node is not null").select("node", "fp", "n"))
     if classes.isEmpty():
         return prints.withColumn("component_id", F.lit(None).cast("long"))
     # a doc_id that occurs with two texts stands for two classes, which it joins: its rows share it as a node
     shared = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("doc_id")
     several = prints.join(shared, "doc_id", "left_semi").select("fp", F.col("doc_id").alias("a"))
-    nodes = classes.groupBy("fp").agg(F.min("node").alias("node"))
-    joins = several.join(nodes, "fp").select("a", F.col("node").alias("b"))
-    found = near_edges(classes, bits, shard_rows=shard_rows).union(joins)
+    joins = several.join(classes, "fp").select("a", F.col("node").alias("b"))
+    found = near_edges(classes.select("node", "fp"), bits, shard_rows=shard_rows).union(joins)
     component = connected_components(found)
-    named = nodes.join(component, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    named = checkpointed(classes.join(component, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id")))
+    return with_class(prints, named, ["fp"], "n", prints.count(), ["component_id"]).select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFrame:
-    """The rows of ``docs``, one for each component: the one with the smallest doc_id. Rows without doc_id stay."""
-    kept = simhash_components(docs.select("doc_id", "text"), bits, shingle).where("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.select(*docs.columns).union(docs.where("doc_id is null"))
+    """The rows of ``docs``, one for each component: the one with the smallest doc_id. Rows without doc_id stay.
+
+    Of rows that share that doc_id, the one whose text has the smallest hash stays (see ``kept_rows``).
+    """
+    return kept_rows(docs, simhash_components(docs.select("doc_id", "text"), bits, shingle).select("doc_id", "component_id"))
