@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratakit.operators.common import settled, total
+from stratakit.operators.common import least_of_each, settled, together, total
 
 
 def reachable(roots: DataFrame, edges: DataFrame, most_depth: int = 1024) -> DataFrame:
@@ -16,14 +17,13 @@ def reachable(roots: DataFrame, edges: DataFrame, most_depth: int = 1024) -> Dat
     Breadth first: a level is joined with the edges and what was seen before is taken away, so shared parts and
     cycles cost nothing twice.
     """
-    frontier = settled(roots.select("node").distinct())
-    seen = frontier
+    levels = [settled(roots.select("node").distinct())]
     for _ in range(most_depth):
-        step = frontier.join(edges, frontier["node"] == edges["parent_id"]).select(F.col("child_id").alias("node")).distinct()
-        frontier = settled(step.join(seen, "node", "left_anti"))
+        step = levels[-1].join(edges, levels[-1]["node"] == edges["parent_id"]).select(F.col("child_id").alias("node")).distinct()
+        frontier = settled(step.join(together(levels), "node", "left_anti"))
         if frontier.isEmpty():
-            return seen
-        seen = settled(seen.union(frontier))
+            return together(levels)
+        levels.append(frontier)  # each level is written once
     raise RuntimeError("the graph is deeper than allowed")
 
 
@@ -53,32 +53,40 @@ def truncated(rows: DataFrame, group: list[str], order: list[Column], most: int
     Partial limits are taken in each partition before a group meets in one task.
     """
     counts = rows.groupBy(*group).agg(total().alias("group_count"))
-    local = Window.partitionBy(*group, "__part").orderBy(*order)
-    few = rows.withColumn("__part", F.spark_partition_id()).withColumn("__k", F.row_number().over(local)).where(F.col("__k") <= most).drop("__k", "__part")
-    top = few.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint")).where(F.col("position") <= most)
+    top = least_of_each(rows, group, order, most)
     return top.join(counts, group).withColumn("details_truncated", F.col("group_count") > most)
 
 
 def apply_gc(candidates: DataFrame, expected_plan: str, current_plan: str, has_problems: bool, delete: Callable[[list], int], lot: int = 1000) -> dict:
-    """Delete candidates (location, id) in order, lot by lot, and stop at the first failure.
+    """Delete candidates (location, id), lot by lot; the executors call ``delete`` with a list of rows.
 
-    Refused if the plan changed since it was shown or if integrity problems exist. The driver holds one lot.
+    Refused if the plan changed since it was shown or if integrity problems exist. Candidates are cut into ranges;
+    a range is worked through in order and stops at its first failure, others go on. The failure that comes first in
+    order is reported. A task that is run again deletes again, so ``delete`` must count what is gone already as done.
     """
     if has_problems:
         raise ValueError("integrity problems: nothing is deleted")
     if expected_plan != current_plan:
         raise ValueError("candidates changed since the plan was made")
-    done, batch = 0, []
-    try:
-        for row in candidates.orderBy("location", "id").toLocalIterator():
-            batch.append(row)
-            if len(batch) == lot:
-                done += delete(batch)
-                batch = []
-        done += delete(batch) if batch else 0
-    except OSError as e:
-        return {"deleted": done, "complete": False, "error": str(e)}
-    return {"deleted": done, "complete": True, "error": None}
+
+    def in_lots(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        done, failure = 0, (None, None, None)
+        rows = (row for batch in batches for row in batch.itertuples(index=False, name="Candidate"))
+        while part := list(islice(rows, lot)):
+            try:
+                done += delete(part)
+            except OSError as e:
+                failure = (part[0].location, str(part[0].id), str(e))
+                break
+        yield pd.DataFrame([(done, *failure)], columns=["deleted", "location", "id", "error"])
+
+    parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = candidates.select("location", "id").repartitionByRange(parts, "location", "id").sortWithinPartitions("location", "id")
+    outcome = settled(ranges.mapInPandas(in_lots, "deleted bigint, location string, id string, error string"))  # once, whatever is asked of it
+    done, first = outcome.agg(F.coalesce(F.sum("deleted"), F.lit(0)), F.min(F.when(F.col("error").isNotNull(), F.struct("location", "id", "error")))).first()
+    return {"deleted": done, "complete": first is None, "error": first["error"] if first else None}
 
 
 def chunk_churn(old: DataFrame, new: DataFrame) -> DataFrame:

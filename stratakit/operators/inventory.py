@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratakit.operators.common import settled, total
+from stratakit.operators.common import least_of_each, settled, together, total
 
 
 def membership(states: DataFrame) -> DataFrame:
@@ -80,30 +80,29 @@ def same_set(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def sample_differences(left: DataFrame, right: DataFrame, most: int = 8) -> DataFrame:
     """A few rows of each side, smallest first, for a message."""
-    found = differences(left, right)
-    rank = F.row_number().over(Window.partitionBy("side").orderBy(*left.columns))
-    return found.withColumn("position", rank.cast("bigint")).where(F.col("position") <= most)
+    return least_of_each(differences(left, right), ["side"], list(left.columns), most)
 
 
 def parent_chain(states: DataFrame, head: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """(state_id, generation, step) from the head to the first state.
+    """(head, state_id, generation, step) from each head (state_id) to the first state.
 
-    Steps double: every state knows its 2^k-th ancestor, so a chain of n states takes log2 n joins.
-    A chain that leads back to itself is an error.
+    Steps double: every state knows its 2^k-th ancestor, so a chain of n states takes log2 n joins. Chains of
+    several heads may meet. A chain that leads back to itself is an error.
     """
     jump = settled(states.select(F.col("state_id").alias("s"), F.col("parent_id").alias("p")))
-    reached = settled(head.select("state_id", F.lit(0).cast("bigint").alias("step")))
+    levels = [settled(head.select(F.col("state_id").alias("head"), "state_id", F.lit(0).cast("bigint").alias("step")).distinct())]
     width = 1
     while width <= most:
-        ahead = reached.join(jump, reached["state_id"] == jump["s"]).where("p is not null").select(F.col("p").alias("state_id"), (F.col("step") + width).alias("step"))
-        grown = settled(reached.union(ahead))
-        if grown.groupBy("state_id").count().where("count > 1").limit(1).count():
-            raise ValueError("the chain has a cycle")
+        reached = together(levels)
+        ahead = settled(reached.join(jump, reached["state_id"] == jump["s"]).where("p is not null").select("head", F.col("p").alias("state_id"), (F.col("step") + width).alias("step")))
         if ahead.isEmpty():
-            return grown.join(states.select("state_id", "generation"), "state_id").select("state_id", "generation", "step")
+            return reached.join(states.select("state_id", "generation"), "state_id").select("head", "state_id", "generation", "step")
+        levels.append(ahead)
+        if together(levels).groupBy("head", "state_id").count().where("count > 1").limit(1).count():
+            raise ValueError("the chain has a cycle")
         j2 = jump.select(F.col("s").alias("__m"), F.col("p").alias("__q"))
         jump = settled(jump.join(j2, jump["p"] == j2["__m"], "left").select("s", F.col("__q").alias("p")))
-        reached, width = grown, 2 * width
+        width = 2 * width
     raise ValueError("the chain does not end")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratakit.functions.paths import portable_key
-from stratakit.operators.common import settled, total
+from stratakit.operators.common import settled, together, total
 
 LEAF_BYTES = 32 * 1024
 ROW_OVERHEAD = 64  # bytes of a row besides its path, a fixed part of the size rule
@@ -32,7 +32,7 @@ def build(entries: DataFrame, leaf_bytes: int = LEAF_BYTES, most_depth: int = 10
     of a level at once; the rows of finished groups leave the loop. The order of the input does not matter.
     """
     todo = settled(manifest_rows(entries).withColumn("group", F.lit("")))
-    leaves, nodes = None, None
+    leaves, nodes = [], []  # of each level, written once
     for _ in range(most_depth):
         if todo.isEmpty():
             break
@@ -41,14 +41,16 @@ def build(entries: DataFrame, leaf_bytes: int = LEAF_BYTES, most_depth: int = 10
         shared = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("lo"), F.length("hi")))), F.lit(0), lambda acc, i: F.when((acc == i - 1) & (F.col("lo").substr(i, F.lit(1)) == F.col("hi").substr(i, F.lit(1))), i).otherwise(acc))
         even = (shared - shared % 2).cast("int")
         sizes = settled(sizes.withColumn("prefix", F.col("lo").substr(F.lit(1), even)).withColumn("is_leaf", (F.col("bytes") <= leaf_bytes) | (F.col("n") == 1)))
-        placed = todo.join(sizes.select("group", "prefix", "is_leaf"), "group")
-        done = placed.where("is_leaf").select("prefix", "key", "path", "size_bytes", "modified_at_utc", "object_id")
-        made = sizes.where("not is_leaf").select("group", "prefix", F.col("n").alias("entry_count"), F.col("logical").alias("logical_size_bytes"), "path_bytes")
-        leaves = settled(done if leaves is None else leaves.union(done))
-        nodes = settled(made if nodes is None else nodes.union(made))
+        placed = settled(todo.join(sizes.select("group", "prefix", "is_leaf"), "group"))
+        leaves.append(placed.where("is_leaf").select("prefix", "key", "path", "size_bytes", "modified_at_utc", "object_id"))
+        nodes.append(sizes.where("not is_leaf").select("group", "prefix", F.col("n").alias("entry_count"), F.col("logical").alias("logical_size_bytes"), "path_bytes"))
         next_group = F.col("key").substr(F.lit(1), F.length("prefix") + 2)
-        todo = settled(placed.where("not is_leaf").withColumn("group", next_group).drop("prefix", "is_leaf"))
-    return leaves, nodes
+        todo = placed.where("not is_leaf").withColumn("group", next_group).drop("prefix", "is_leaf")
+    if not leaves:
+        nothing = todo.select(F.lit("").alias("prefix"), "key", "path", "size_bytes", "modified_at_utc", "object_id")
+        empty = todo.select("group", F.lit("").alias("prefix"), *[F.lit(0).cast("bigint").alias(c) for c in ("entry_count", "logical_size_bytes", "path_bytes")])
+        return nothing, empty
+    return together(leaves), together(nodes)
 
 
 def leaf_ids(leaves: DataFrame) -> DataFrame:
@@ -58,11 +60,16 @@ def leaf_ids(leaves: DataFrame) -> DataFrame:
     return leaves.groupBy("prefix").agg(domain_hash("leaf", F.array_join(F.transform(rows, lambda r: r["row"]), "\n")).alias("chunk_id"), total().alias("entry_count"), total(None, "size_bytes").alias("logical_size_bytes"), total(None, F.octet_length("path").cast("bigint")).alias("path_bytes"))
 
 
-def root_digest(leaves: DataFrame) -> DataFrame:
-    """One row: equal for equal entries, in whatever order they came."""
-    ids = leaf_ids(leaves)
-    listed = F.array_sort(F.collect_list(F.struct("prefix", "chunk_id")))
-    return ids.agg(domain_hash("root", F.array_join(F.transform(listed, lambda x: x["chunk_id"]), "\n")).alias("root_id"))
+def root_digest(leaves: DataFrame, digits: int = 4) -> DataFrame:
+    """One row: equal for equal entries, in whatever order they came.
+
+    Leaves are dealt to 16 ** ``digits`` parts by a hash of their prefix, each part is hashed over its leaves in
+    order, and the root over the parts, so no task holds all leaves.
+    """
+    ids = leaf_ids(leaves).withColumn("part", F.substring(F.sha2("prefix", 256), 1, digits))
+    joined = lambda key, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: F.concat(x[key], F.lit(" "), x[value])), "\n")
+    parts = ids.groupBy("part").agg(domain_hash("part", joined("prefix", "chunk_id")).alias("part_id"))
+    return parts.agg(domain_hash("root", joined("part", "part_id")).alias("root_id"))
 
 
 def in_key_order(leaves: DataFrame) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import hashlib
 import hmac
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratakit.functions.paths import ancestors, companion, depth
-from stratakit.operators.common import settled, total
+from stratakit.operators.common import numbered_all, settled, total
 
 COLUMNS = ["operation_type", "path", "before_hash", "before_size_bytes", "before_modified_at_utc", "after_hash", "after_size_bytes", "after_modified_at_utc"]
 
@@ -154,8 +154,7 @@ def directories(plan: DataFrame, working: DataFrame) -> DataFrame:
     old, new = folders(working), folders(after)
     gone = old.join(new, "path", "left_anti").select(F.lit("remove").alias("action"), "path", depth(F.col("path")).alias("depth"))
     come = new.join(old, "path", "left_anti").select(F.lit("create").alias("action"), "path", depth(F.col("path")).alias("depth"))
-    order = Window.partitionBy("action").orderBy(F.when(F.col("action") == "remove", -F.col("depth")), "path")
-    return gone.union(come).withColumn("position", F.row_number().over(order).cast("bigint"))
+    return numbered_all(gone, [-F.col("depth"), "path"], start=1).union(numbered_all(come, ["path"], start=1))
 
 
 def topology_blockers(operations: DataFrame, working: DataFrame) -> DataFrame:

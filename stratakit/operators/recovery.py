@@ -92,7 +92,10 @@ def cleanup_totals(plan: DataFrame) -> DataFrame:
 
 
 def recovery_result(outcomes: DataFrame) -> DataFrame:
-    """One row: how many recovered and failed, and their sorted ids."""
+    """One row: how many recovered and failed, and their sorted ids, joined: a report on the transactions at hand.
+
+    The row holds every id, so one task makes it; for more outcomes than a row should hold, read them as rows.
+    """
     ids = lambda ok: F.array_join(F.array_sort(F.collect_list(F.when(ok, F.col("transaction_id").cast("string")))), ",")
     good = F.col("error").isNull()
     return outcomes.agg(total(good).alias("recovered_count"), total(~good).alias("failed_count"), ids(good).alias("recovered_ids"), ids(~good).alias("failed_ids"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakit.operators.common import settled, total
+from stratakit.operators.common import settled, together, total
 
 NO_CONFLICT = "an object has two sizes"
 
@@ -51,14 +51,13 @@ def multiplicity(roots: DataFrame, edges: DataFrame, most_depth: int = 1024) ->
     roots (node, multiplicity), edges (parent_id, child_id, n). One aggregate a level, so ways are counted and
     never spelled out; a graph deeper than ``most_depth`` has a cycle, which is an error.
     """
-    frontier = settled(roots.groupBy("node").agg(F.sum("multiplicity").alias("multiplicity")))
-    levels = frontier
+    levels = [settled(roots.groupBy("node").agg(F.sum("multiplicity").alias("multiplicity")))]
     for _ in range(most_depth):
-        step = frontier.join(edges, frontier["node"] == edges["parent_id"]).groupBy(F.col("child_id").alias("node")).agg(F.sum(F.col("multiplicity") * F.col("n")).alias("multiplicity"))
+        step = levels[-1].join(edges, levels[-1]["node"] == edges["parent_id"]).groupBy(F.col("child_id").alias("node")).agg(F.sum(F.col("multiplicity") * F.col("n")).alias("multiplicity"))
         frontier = settled(step)
         if frontier.isEmpty():
-            return levels.groupBy("node").agg(F.sum("multiplicity").alias("multiplicity"))
-        levels = settled(levels.union(frontier).groupBy("node").agg(F.sum("multiplicity").alias("multiplicity")))
+            return together(levels).groupBy("node").agg(F.sum("multiplicity").alias("multiplicity"))
+        levels.append(frontier)  # each level is written once
     raise RuntimeError("the graph has a cycle")
 
 

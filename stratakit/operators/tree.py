@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratakit.functions.paths import ancestors, base_name
-from stratakit.operators.common import numbered_all, settled, total
+from stratakit.operators.common import numbered_all, numbered_within, settled, total
 
 TYPES = ("added", "modified", "deleted")
 
@@ -60,8 +60,8 @@ def tree_rows(changes: DataFrame, locale: bool = False) -> DataFrame:
     rows = folders.unionByName(files)
     order_name = F.collate("name", "ja") if locale else F.col("name")
     rank = F.when(F.col("change_type") == "added", 0).when(F.col("change_type") == "modified", 1).otherwise(2)
-    order = Window.partitionBy("parent").orderBy(F.when(F.col("kind") == "folder", 0).otherwise(1), F.when(F.col("kind") == "file", rank), order_name, "path")
-    numbered = rows.withColumn("pos_in_set", F.row_number().over(order).cast("bigint")).withColumn("set_size", F.count(F.lit(1)).over(Window.partitionBy("parent")))
+    order = [F.when(F.col("kind") == "folder", 0).otherwise(1), F.when(F.col("kind") == "file", rank), order_name, F.col("path")]
+    numbered = numbered_within(rows, ["parent"], order, "pos_in_set", start=1, size="set_size")
     # depth counts visible folders above: ancestors less those that were folded into a longer one
     above = numbered.select("kind", "path", F.explode(ancestors(F.col("path"))).alias("__up"))
     folded = above.join(inner.select(F.col("path").alias("__up")), "__up", "left_semi").groupBy("kind", "path").agg(F.count(F.lit(1)).alias("__f"))
