@@ -20,11 +20,11 @@ def is_reserved_name(segment: Column) -> Column:
 
 def segment_problem(segment: Column) -> Column:
     return (
-        F.when(segment == "", "empty segment is not allowed")
-        .when(segment.isin(".", ".."), "dot segments are not allowed")
-        .when(segment.rlike(r"[ .]$"), "segments ending with space or dot are not allowed")
-        .when(segment.rlike(FORBIDDEN), "forbidden characters are not allowed")
-        .when(is_reserved_name(segment), "reserved file names are not allowed")
+        F.when(segment == "", "a segment is empty")
+        .when(segment.isin(".", ".."), "a segment is . or ..")
+        .when(segment.rlike(r"[ .]$"), "a segment ends in a blank or dot")
+        .when(segment.rlike(FORBIDDEN), "a segment holds a character that some file systems refuse")
+        .when(is_reserved_name(segment), "a segment names a device")
     )
 
 
@@ -33,12 +33,12 @@ def path_problem(path: Column) -> Column:
     segments = F.split(path, "/", -1)
     problems = F.filter(F.transform(segments, segment_problem), lambda x: x.isNotNull())
     return (
-        F.when(path == "", "empty path")
-        .when(path.contains("\\"), "backslash is not allowed")
-        .when(path.contains(":"), "colon is not allowed")
-        .when(path.startswith("/"), "absolute path is not allowed")
-        .when(F.size(segments) < 2, "tracked root alone is not a file path")
-        .when(~F.element_at(segments, 1).isin(*ROOTS), "outside tracked scope")
+        F.when(path == "", "no path")
+        .when(path.contains("\\"), "holds a backslash")
+        .when(path.contains(":"), "holds a colon")
+        .when(path.startswith("/"), "starts at the root")
+        .when(F.size(segments) < 2, "names a tracked root itself")
+        .when(~F.element_at(segments, 1).isin(*ROOTS), "lies in no tracked root")
         .otherwise(F.get(problems, F.lit(0)))
     )
 
@@ -75,11 +75,11 @@ def location_problem(location: Column) -> Column:
     parts = F.split(location, "/", -1)
     prefix, name = F.get(parts, F.lit(2)), F.get(parts, F.lit(3))
     return (
-        F.when((F.size(parts) != 4) | (F.get(parts, F.lit(0)) != "objects") | (F.get(parts, F.lit(1)) != "loose"), "not under objects/loose")
-        .when(F.length(prefix) != 2, "prefix must be two digits")
-        .when(F.length(name) != 64, "name must be a 64 digit hash")
-        .when(F.substring(name, 1, 2) != prefix, "prefix does not match the hash")
-        .when(~is_object_id(name), "hash must be lowercase hex")
+        F.when((F.size(parts) != 4) | (F.get(parts, F.lit(0)) != "objects") | (F.get(parts, F.lit(1)) != "loose"), "lies outside the object folder")
+        .when(F.length(prefix) != 2, "shard is not of two digits")
+        .when(F.length(name) != 64, "name is not of 64 digits")
+        .when(F.substring(name, 1, 2) != prefix, "lies in the shard of other objects")
+        .when(~is_object_id(name), "name is not in small hex digits")
     )
 
 
@@ -139,6 +139,9 @@ def _portable(paths: pd.Series) -> pd.Series:  # Spark has no Unicode normalisat
 def portable_key(path: Column) -> Column:
     """NFC, full lower case, NFC: paths with equal keys collide on case-insensitive file systems.
 
-    Pure-ASCII paths need no normalisation and take the built-in ``lower``.
+    Pure-ASCII paths need no normalisation and take the built-in ``lower``; Python gets a null in their place, since a
+    function inside a CASE is evaluated for every row. Normalisation follows the Unicode version of the workers' Python
+    (``unicodedata.unidata_version``, 15.1 in 3.13): characters that later versions add or recase keep their form.
     """
-    return F.when(path.rlike(r"\A[\x00-\x7F]*\z"), F.lower(path)).otherwise(_portable(path))
+    plain = path.rlike(r"\A[\x00-\x7F]*\z")
+    return F.when(plain, F.lower(path)).otherwise(_portable(F.when(~plain, path)))

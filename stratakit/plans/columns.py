@@ -11,12 +11,12 @@ from stratakit.plans.registry import query
 from stratakit.sources import records, scan
 
 DEVICE = r"regexp_matches(upper(split_part({s}, '.', 1)), '^(CON|PRN|AUX|NUL|CONIN\$|CONOUT\$|(COM|LPT)[1-9¹²³])$')"
-SEGMENT = rf"""CASE WHEN s = '' THEN 'empty segment is not allowed' WHEN s IN ('.', '..') THEN 'dot segments are not allowed'
-  WHEN right(s, 1) IN (' ', '.') THEN 'segments ending with space or dot are not allowed' WHEN regexp_matches(s, '[<>"|?*]') THEN 'forbidden characters are not allowed'
-  WHEN {DEVICE.format(s="s")} THEN 'reserved file names are not allowed' END"""
-PROBLEM = f"""CASE WHEN path = '' THEN 'empty path' WHEN contains(path, chr(92)) THEN 'backslash is not allowed' WHEN contains(path, ':') THEN 'colon is not allowed'
-  WHEN starts_with(path, '/') THEN 'absolute path is not allowed' WHEN NOT contains(path, '/') THEN 'tracked root alone is not a file path'
-  WHEN split_part(path, '/', 1) NOT IN ('Assets', 'Packages', 'ProjectSettings') THEN 'outside tracked scope'
+SEGMENT = rf"""CASE WHEN s = '' THEN 'a segment is empty' WHEN s IN ('.', '..') THEN 'a segment is . or ..'
+  WHEN right(s, 1) IN (' ', '.') THEN 'a segment ends in a blank or dot' WHEN regexp_matches(s, '[<>"|?*]') THEN 'a segment holds a character that some file systems refuse'
+  WHEN {DEVICE.format(s="s")} THEN 'a segment names a device' END"""
+PROBLEM = f"""CASE WHEN path = '' THEN 'no path' WHEN contains(path, chr(92)) THEN 'holds a backslash' WHEN contains(path, ':') THEN 'holds a colon'
+  WHEN starts_with(path, '/') THEN 'starts at the root' WHEN NOT contains(path, '/') THEN 'names a tracked root itself'
+  WHEN split_part(path, '/', 1) NOT IN ('Assets', 'Packages', 'ProjectSettings') THEN 'lies in no tracked root'
   ELSE list_filter(list_transform(string_split(path, '/'), lambda s: {SEGMENT}), lambda p: p IS NOT NULL)[1] END"""
 
 
@@ -45,8 +45,8 @@ def _(d):
     return named.select("doc_id", paths.is_owned_temp(F.col("p")).alias("owned"), paths.is_object_temp(F.col("p")).alias("object_temp"))
 
 
-LOCATION = """CASE WHEN len(x) <> 4 OR x[1] <> 'objects' OR x[2] <> 'loose' THEN 'not under objects/loose' WHEN length(x[3]) <> 2 THEN 'prefix must be two digits' WHEN length(x[4]) <> 64 THEN 'name must be a 64 digit hash'
-  WHEN left(x[4], 2) <> x[3] THEN 'prefix does not match the hash' WHEN NOT regexp_full_match(x[4], '[0-9a-f]{64}') THEN 'hash must be lowercase hex' END"""
+LOCATION = """CASE WHEN len(x) <> 4 OR x[1] <> 'objects' OR x[2] <> 'loose' THEN 'lies outside the object folder' WHEN length(x[3]) <> 2 THEN 'shard is not of two digits' WHEN length(x[4]) <> 64 THEN 'name is not of 64 digits'
+  WHEN left(x[4], 2) <> x[3] THEN 'lies in the shard of other objects' WHEN NOT regexp_full_match(x[4], '[0-9a-f]{64}') THEN 'name is not in small hex digits' END"""
 
 
 @query("flt05_location", f"SELECT doc_id, {LOCATION} AS problem FROM (SELECT doc_id, string_split(location, '/') AS x FROM stored_files)")
@@ -75,9 +75,9 @@ def _(d):
     return d.working_b.where(paths.is_descendant(F.col("path"), F.lit("Assets/src1"))).select("path")
 
 
-@query("flt07_ancestor_keys", "SELECT a.path, b.path AS below FROM (SELECT DISTINCT 'Assets/' || source AS path FROM documents WHERE doc_id < 5) a JOIN entries_a b ON starts_with(b.path, a.path || '/')")
+@query("flt07_ancestor_keys", "SELECT a.path, b.path AS below FROM (SELECT DISTINCT 'Assets/' || source AS path FROM documents) a JOIN entries_a b ON starts_with(b.path, a.path || '/')")
 def _(d):
-    tops = d.documents.where("doc_id < 5").select(F.concat(F.lit("Assets/"), "source").alias("path")).distinct()
+    tops = d.documents.select(F.concat(F.lit("Assets/"), "source").alias("path")).distinct()
     up = d.entries_a.select(F.col("path").alias("below"), F.explode(paths.ancestors(F.col("path"))).alias("path"))
     return up.join(tops, "path").select("path", "below")
 
@@ -293,9 +293,9 @@ def _(d):
     return d.states.select("state_id", manifest.domain_hash("inventory", F.col("operation"), F.col("snapshot_id")).alias("digest"))
 
 
-@query("cas08_portable_key", "SELECT doc_id, nfc_normalize(lower(nfc_normalize('Assets/' || left(text, 30)))) AS portable_key FROM documents")
+@query("cas08_portable_key", "SELECT doc_id, nfc_normalize(lower(nfc_normalize('Assets/' || text))) AS portable_key FROM documents")
 def _(d):
-    return d.documents.select("doc_id", paths.portable_key(F.concat(F.lit("Assets/"), F.expr("left(text, 30)"))).alias("portable_key"))
+    return d.documents.select("doc_id", paths.portable_key(F.concat(F.lit("Assets/"), "text")).alias("portable_key"))
 
 
 @query("cas21_fingerprint", "SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id % 3 AS STRING) || ':' || CAST(doc_id AS STRING) || ':' || CAST(n_chars AS STRING) END AS fingerprint FROM documents")
