@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratakit.operators import diff, gc, history, inventory, manifest, plan, recovery, refs, tree, verify
-from stratakit.operators.common import numbered_all, total
+from stratakit.operators.common import numbered_all, settled, total
 from stratakit.plans.joins import CONTENT, PLAN
 from stratakit.plans.registry import query
 from stratakit.sinks import store
@@ -25,16 +25,16 @@ def _(d):
     return refs.storage_summary(d.snapshots, d.live_refs, d.objects)
 
 
-@query("agg03_object_refs", "SELECT object_id, count(*) AS reference_count, min(size_bytes) AS size_bytes, min(size_bytes) <> max(size_bytes) AS conflicting FROM snapshot_entries WHERE snapshot_id % 3 <> 0 GROUP BY object_id")
+@query("agg03_object_refs", "SELECT object_id, count(*) AS reference_count, min(size_bytes) AS size_bytes, min(size_bytes) <> max(size_bytes) AS conflicting FROM snapshot_entries GROUP BY object_id")
 def _(d):
-    return refs.object_refs(d.snapshot_entries.where("snapshot_id % 3 <> 0"))
+    return refs.object_refs(d.snapshot_entries)
 
 
 @query("agg04_multiplicity", """
-SELECT CAST(l_partkey AS BIGINT) AS object_id, CAST(sum(1 + o_orderkey % 3) AS BIGINT) AS reference_count FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 5 = 0 GROUP BY 1""")
+SELECT CAST(l_partkey AS BIGINT) AS object_id, CAST(sum(1 + o_orderkey % 3) AS BIGINT) AS reference_count FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def _(d):
-    roots = d.orders.where("o_custkey % 5 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), (1 + F.col("o_orderkey") % 3).alias("multiplicity"))
-    edges = refs.edge_counts(d.lineitem.select(F.concat(F.lit("o"), "l_orderkey").alias("parent_id"), F.concat(F.lit("p"), "l_partkey").alias("child_id")))
+    roots = d.orders.select(F.concat(F.lit("o"), "o_orderkey").alias("node"), (1 + F.col("o_orderkey") % 3).alias("multiplicity"))
+    edges = settled(refs.edge_counts(d.lineitem.select(F.concat(F.lit("o"), "l_orderkey").alias("parent_id"), F.concat(F.lit("p"), "l_partkey").alias("child_id"))))  # read for every level
     nodes = refs.multiplicity(roots, edges)
     leaves = d.part.select(F.concat(F.lit("p"), "p_partkey").alias("chunk_id"), F.col("p_partkey").cast("bigint").alias("object_id"), F.lit(1).alias("n"))
     return refs.graph_refs(nodes, leaves)
@@ -84,9 +84,9 @@ def _(d):
     return recovery.cleanup_totals(recovery.cleanup_plan(d.journals, files))
 
 
-@query("agg14_temp_totals", "SELECT count(*) AS file_count, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM (SELECT size_bytes FROM stored_files WHERE doc_id % 7 = 1 UNION ALL SELECT size_bytes FROM stored_files WHERE doc_id % 5 = 1)")
+@query("agg14_temp_totals", "SELECT count(*) AS file_count, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM (SELECT size_bytes FROM stored_files UNION ALL SELECT size_bytes FROM working_b)")
 def _(d):
-    return gc.temp_totals(d.stored_files.where("doc_id % 7 = 1"), d.stored_files.where("doc_id % 5 = 1"))
+    return gc.temp_totals(d.stored_files, d.working_b.withColumnRenamed("path", "location"))
 
 
 @query("agg15_first_ref", "SELECT object_id, s[1] AS snapshot_id, s[2] AS path FROM (SELECT object_id, min((snapshot_id, path)) AS s FROM snapshot_entries GROUP BY object_id)")
@@ -161,9 +161,9 @@ def _(d):
     return verify.completeness(rows, ["conv_id"], "number", "ident")
 
 
-@query("agg26_ref_counts", "SELECT count(*) AS objects, CAST(sum(n) AS BIGINT) AS references, count(*) FILTER (WHERE n = 1) AS singletons FROM (SELECT object_id, count(*) AS n FROM snapshot_entries WHERE snapshot_id % 29 = 0 GROUP BY 1)")
+@query("agg26_ref_counts", "SELECT count(*) AS objects, CAST(sum(n) AS BIGINT) AS references, count(*) FILTER (WHERE n = 1) AS singletons FROM (SELECT object_id, count(*) AS n FROM snapshot_entries GROUP BY 1)")
 def _(d):
-    counted = refs.object_refs(d.snapshot_entries.where("snapshot_id % 29 = 0"))
+    counted = refs.object_refs(d.snapshot_entries)
     return counted.agg(total().alias("objects"), total(None, "reference_count").alias("references"), total(F.col("reference_count") == 1).alias("singletons"))
 
 
@@ -355,7 +355,8 @@ def _(d):
 
 @query("src02_scan_hashed")
 def _(d):
-    files = scan.listing(d.spark, d.sf_dir, hashed=True).where("location like '%/nation.parquet%' or location like '%/region.parquet%'")
+    """Every file of the dataset with the hash of its bytes; tests/test_operators.py reads the same files."""
+    files = scan.listing(d.spark, d.sf_dir, hashed=True)
     return files.select(F.element_at(F.split("location", "/"), -1).alias("name"), "size_bytes", "object_id")
 
 
@@ -430,15 +431,18 @@ def _(d):
     return stored.where(F.sha2("text", 256) == F.col("object_id")).select("doc_id", F.length("text").cast("bigint").alias("chars"))
 
 
-@query("src20_object_verification", "SELECT sha256(text) AS object_id, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'size mismatch' ELSE 'hash mismatch' END AS problem FROM documents WHERE (doc_id % 7 = 0 OR doc_id % 5 = 0 OR doc_id % 3 = 0) AND doc_id < 200 AND text IN (SELECT text FROM documents WHERE doc_id < 200 GROUP BY text HAVING count(*) = 1)")
+DISTINCT_TEXTS = "SELECT sha256(text) AS object_id, text, min(doc_id) AS doc_id, length(text) AS size_bytes FROM documents WHERE text IS NOT NULL GROUP BY text"
+
+
+@query("src20_object_verification", f"SELECT object_id, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'size mismatch' ELSE 'hash mismatch' END AS problem FROM ({DISTINCT_TEXTS}) WHERE doc_id % 7 = 0 OR doc_id % 5 = 0 OR doc_id % 3 = 0")
 def _(d):
-    docs = d.documents.where("doc_id < 200")
-    docs = docs.join(docs.groupBy("text").count().where("count = 1").select("text"), "text", "left_semi")
-    expected = docs.select(F.sha2("text", 256).alias("object_id"), F.col("n_chars").alias("size_bytes"))
-    size = F.when(F.col("doc_id") % 5 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    """All texts, each an object once; some are made to be missing, or of another size or content."""
+    objects = d.documents.where("text is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    objects = objects.select(F.sha2("text", 256).alias("object_id"), F.length("text").cast("bigint").alias("size_bytes"), "doc_id", "text")
+    size = F.when(F.col("doc_id") % 5 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes"))
     content = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("~"))).otherwise(F.col("text"))
-    present = docs.where("doc_id % 7 <> 0").select(F.sha2("text", 256).alias("object_id"), size.alias("size_bytes"), content.alias("content"))
-    return verify.object_verification(expected, present, full=True)
+    present = objects.where("doc_id % 7 <> 0").select("object_id", size.alias("size_bytes"), content.alias("content"))
+    return verify.object_verification(objects.select("object_id", "size_bytes"), present, full=True)
 
 
 @query("src21_path_state", "SELECT path, object_id, size_bytes, modified_at_utc FROM working_b WHERE path = 'Assets/src5/en/5.txt'")

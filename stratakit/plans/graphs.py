@@ -30,19 +30,22 @@ def _(d):
     return gc.reachable(roots, _levels(d))
 
 
-@query("cas13_chain", "WITH RECURSIVE chain AS (SELECT state_id, generation, parent_id, CAST(0 AS BIGINT) AS step FROM states WHERE generation % 10 = 9 AND generation < 400 UNION ALL SELECT s.state_id, s.generation, s.parent_id, c.step + 1 FROM chain c JOIN states s ON s.state_id = c.parent_id) SELECT state_id, generation, step FROM chain")
+@query("cas13_chain", "WITH RECURSIVE chain AS (SELECT state_id, generation, parent_id, CAST(0 AS BIGINT) AS step FROM states WHERE state_id NOT IN (SELECT parent_id FROM states WHERE parent_id IS NOT NULL) UNION ALL SELECT s.state_id, s.generation, s.parent_id, c.step + 1 FROM chain c JOIN states s ON s.state_id = c.parent_id) SELECT state_id, generation, step FROM chain")
 def _(d):
-    heads = d.states.where("generation % 10 = 9 and generation < 400").select("state_id")
-    return inventory.parent_chain(d.states, heads)
+    heads = d.states.select("state_id").join(d.states.select(F.col("parent_id").alias("state_id")), "state_id", "left_anti")
+    return inventory.parent_chain(d.states, heads).drop("head")
 
 
 TOPOLOGY = """SELECT DISTINCT array_to_string(x[1:i], '/') AS folder FROM (SELECT string_split(path, '/') AS x FROM {t}), unnest(range(1, len(x))) AS u(i)"""
 
 
-@query("cas16_topology", f"SELECT 'create' AS action, count(*) AS n FROM ({TOPOLOGY.format(t='entries_a')}) WHERE folder NOT IN ({TOPOLOGY.format(t='(SELECT path FROM working_b WHERE doc_id % 97 = 0)')}) GROUP BY 1")
+OUTSIDE = "SELECT '{a}' AS action, count(*) AS n FROM ({x}) WHERE folder NOT IN ({y}) HAVING count(*) > 0"
+
+
+@query("cas16_topology", f"{OUTSIDE.format(a='create', x=TOPOLOGY.format(t='entries_a'), y=TOPOLOGY.format(t='assets'))} UNION ALL {OUTSIDE.format(a='remove', x=TOPOLOGY.format(t='assets'), y=TOPOLOGY.format(t='entries_a'))}")
 def _(d):
-    few = d.working_b.where("doc_id % 97 = 0")
-    return plan.directories(plan.restore_plan(d.entries_a, few), few).groupBy("action").agg(total().alias("n"))
+    other = d.assets.distinct().select("path", F.sha2("path", 256).alias("object_id"), "size_bytes", F.lit("t").alias("modified_at_utc"))
+    return plan.directories(plan.restore_plan(d.entries_a, other), other).groupBy("action").agg(total().alias("n"))
 
 
 @query("cas17_closure", r"""
@@ -176,24 +179,24 @@ def _(d):
     return store.new_objects(store.put_actions(d.working_b, have)).select("object_id", "location", "shard")
 
 
-@query("snk06_index_upsert", "SELECT snapshot_id, count(*) AS file_count FROM snapshot_entries WHERE snapshot_id % 10 IN (1, 2) GROUP BY 1")
+@query("snk06_index_upsert", "SELECT snapshot_id, count(*) AS file_count FROM snapshot_entries GROUP BY 1")
 def _(d):
     counts = lambda cond: d.snapshot_entries.where(cond).groupBy("snapshot_id").agg(total().alias("file_count"))
-    return store.index_upsert(counts("snapshot_id % 10 = 1"), counts("snapshot_id % 10 = 2 or snapshot_id % 20 = 1"))
+    return store.index_upsert(counts("snapshot_id % 2 = 1"), counts("snapshot_id % 2 = 0 or snapshot_id % 20 = 1"))
 
 
 REFS = "SELECT object_id, count(*) AS reference_count, min(size_bytes) AS size_bytes FROM sized_entries WHERE {c} GROUP BY 1"
 
 
-@query("snk07_add_refs", REFS.format(c="snapshot_id % 5 IN (0, 1)"))
+@query("snk07_add_refs", REFS.format(c="TRUE"))
 def _(d):
-    base = refs.object_refs(d.sized_entries.where("snapshot_id % 5 = 0")).drop("conflicting")
+    base = refs.object_refs(d.sized_entries.where("snapshot_id % 5 <> 1")).drop("conflicting")
     return refs.add_refs(base, d.sized_entries.where("snapshot_id % 5 = 1"))
 
 
-@query("snk08_remove_refs", REFS.format(c="snapshot_id % 50 = 1"))
+@query("snk08_remove_refs", REFS.format(c="snapshot_id % 50 <> 2"))
 def _(d):
-    base = refs.object_refs(d.sized_entries.where("snapshot_id % 50 in (1, 2)")).drop("conflicting")
+    base = refs.object_refs(d.sized_entries).drop("conflicting")
     return refs.remove_refs(base, d.sized_entries.where("snapshot_id % 50 = 2"))
 
 
@@ -294,8 +297,17 @@ def _(d):
     return history.with_names(d.snapshots, d.overrides).select("snapshot_id", "name").join(d.objects.agg(total().alias("stored_objects")))
 
 
-@query("stm01_throttled_progress", "SELECT event_id FROM (SELECT event_id, event_type, t, lag(t) OVER w AS b, lag(event_type) OVER w AS p FROM (SELECT event_id, user_id, event_type, epoch_ms(ts) AS t FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY t, event_type)) WHERE b IS NULL OR p IS DISTINCT FROM event_type OR t - b >= 3600000")
-def _(d):
-    rows = d.events.select("event_id", "user_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
-    return progress.throttled(rows, "user_id", "t", "event_type", 3_600_000).select("event_id")
+STEPS = "SELECT event_id, user_id, epoch_ms(ts) AS t, CASE WHEN event_id % 19 = 0 THEN 'complete' ELSE event_type END AS phase, CAST(user_id % 4 AS BIGINT) AS total, CAST(event_id % 6 AS BIGINT) AS completed FROM events"
 
+
+@query("stm01_throttled_progress", f"""
+WITH RECURSIVE steps AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, phase, event_id) AS k FROM ({STEPS})),
+  shown AS (SELECT user_id, k, event_id, TRUE AS seen, t AS last_t, phase AS last_phase, total AS last_total FROM steps WHERE k = 1
+    UNION ALL SELECT user_id, k, event_id, seen, CASE WHEN seen THEN t ELSE last_t END, CASE WHEN seen THEN phase ELSE last_phase END, CASE WHEN seen THEN total ELSE last_total END
+    FROM (SELECT s.user_id, s.k, s.event_id, s.t, s.phase, s.total, p.last_t, p.last_phase, p.last_total,
+                 s.phase <> p.last_phase OR s.total <> p.last_total OR s.phase = 'complete' OR (s.total > 0 AND s.completed >= s.total) OR s.t - p.last_t >= 86400000 AS seen
+          FROM shown p JOIN steps s ON s.user_id = p.user_id AND s.k = p.k + 1))
+SELECT event_id FROM shown WHERE seen""")
+def _(d):
+    rows = d.events.select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"), F.expr("if(event_id % 19 = 0, 'complete', event_type)").alias("phase"), (F.col("user_id") % 4).cast("bigint").alias("total"), (F.col("event_id") % 6).alias("completed"))
+    return progress.throttled(rows, "user_id", "t", "phase", "total", "completed", ["event_id"], 86_400_000).select("event_id")

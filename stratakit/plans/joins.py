@@ -234,10 +234,10 @@ def _(d):
 
 
 @query("flt15_topology", """
-SELECT path FROM (SELECT path FROM working_b UNION ALL SELECT 'Assets/' || source || '/de' FROM documents WHERE doc_id < 40 GROUP BY source) w
+SELECT path FROM (SELECT path FROM working_b UNION ALL SELECT 'Assets/' || source || '/de' FROM documents GROUP BY source) w
 WHERE EXISTS (SELECT 1 FROM operations o WHERE o.operation_type IN ('restore', 'replace') AND starts_with(o.path, w.path || '/')) AND path NOT IN (SELECT path FROM operations WHERE operation_type = 'delete')""")
 def _(d):
-    folders = d.documents.where("doc_id < 40").select(F.concat(F.lit("Assets/"), "source", F.lit("/de")).alias("path")).distinct()
+    folders = d.documents.select(F.concat(F.lit("Assets/"), "source", F.lit("/de")).alias("path")).distinct()
     return plan.topology_blockers(d.operations, d.working_b.select("path").union(folders))
 
 

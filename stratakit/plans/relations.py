@@ -34,8 +34,11 @@ relation("snapshot_entries", """
   SELECT CAST(l_orderkey AS BIGINT) AS snapshot_id, 'Assets/' || CAST(l_linenumber AS STRING) || '/' || CAST(l_suppkey AS STRING) AS path, CAST(l_partkey AS BIGINT) AS object_id, CAST(l_quantity AS BIGINT) AS size_bytes FROM lineitem""")
 relation("sized_entries", """
   SELECT CAST(l_orderkey AS BIGINT) AS snapshot_id, 'Assets/' || CAST(l_linenumber AS STRING) || '/' || CAST(l_suppkey AS STRING) AS path, CAST(l_partkey AS BIGINT) AS object_id, CAST(l_partkey % 50 AS BIGINT) AS size_bytes FROM lineitem""")
-relation("objects", "SELECT CAST(p_partkey AS BIGINT) AS object_id, CAST(p_partkey % 50 + CASE WHEN p_partkey % 31 = 0 THEN 1 ELSE 0 END AS BIGINT) AS size_bytes FROM part WHERE p_partkey % 17 <> 0")
-relation("live_refs", "SELECT object_id, size_bytes, count(*) AS reference_count FROM sized_entries WHERE snapshot_id % 197 = 0 GROUP BY object_id, size_bytes")
+# the store lacks some objects, has some of another size, and holds others that nothing refers to
+relation("objects", """
+  SELECT CAST(p_partkey AS BIGINT) AS object_id, CAST(p_partkey % 50 + CASE WHEN p_partkey % 31 = 0 THEN 1 ELSE 0 END AS BIGINT) AS size_bytes FROM part WHERE p_partkey % 17 <> 0
+  UNION ALL SELECT CAST(1000000000000 + doc_id AS BIGINT) AS object_id, CAST(n_chars AS BIGINT) AS size_bytes FROM documents""")
+relation("live_refs", "SELECT object_id, size_bytes, count(*) AS reference_count FROM sized_entries GROUP BY object_id, size_bytes")
 relation("overrides", "SELECT CAST(o_orderkey AS BIGINT) AS snapshot_id, 'kept by ' || o_orderstatus AS name FROM orders WHERE o_orderkey % 7 = 0")
 # the inventory log: one member in twenty values, operations from event types
 relation("states", """
