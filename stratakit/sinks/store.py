@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratakit.functions.paths import object_location
 from stratakit.operators.common import total
+from stratakit.sinks.log import Log, Moved
 
 
 def representatives(files: DataFrame) -> DataFrame:
@@ -38,17 +39,29 @@ def new_objects(actions: DataFrame) -> DataFrame:
     return actions.where("action <> 'skip'").select("object_id", "path", "size_bytes", object_location(F.col("object_id")).alias("location"), F.substring("object_id", 1, 2).alias("shard"))
 
 
-def publish_version(spark: SparkSession, entries: DataFrame, header: DataFrame, directory: str, snapshot_id: str) -> None:
-    """Entries first, then the header as the commit row: a version without header does not exist for readers."""
-    entries.write.mode("overwrite").parquet(f"{directory}/entries/snapshot_id={snapshot_id}")
-    header.write.mode("append").parquet(f"{directory}/headers")
+def publish_version(spark: SparkSession, entries: DataFrame, header: DataFrame, directory: str, snapshot_id: str, expected_head: int | None = None) -> int:
+    """Entries first, then the header, then the state in the log that commits both -> the new head.
+
+    A version without a state does not exist for readers. Publishing a version again changes nothing; with
+    ``expected_head`` another writer's state in between is an error, and the version stays unseen.
+    """
+    log = Log(spark, directory)
+    done = log.states().where((F.col("operation") == "add") & (F.col("snapshot_id") == snapshot_id)).agg(F.max("generation")).first()[0]
+    if done is not None:
+        return done
+    head = log.head()
+    if expected_head is not None and head != expected_head:
+        raise Moved("the head moved")
+    entries.drop("snapshot_id").write.mode("overwrite").parquet(f"{directory}/entries/snapshot_id={snapshot_id}")
+    header.drop("snapshot_id").write.mode("overwrite").parquet(f"{directory}/headers/snapshot_id={snapshot_id}")
+    return log.append("add", snapshot_id, head, snapshot_id)
 
 
 def published(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
     """(headers, entries) of committed versions."""
-    headers = spark.read.parquet(f"{directory}/headers")
-    entries = spark.read.parquet(f"{directory}/entries").withColumn("snapshot_id", F.col("snapshot_id").cast("string"))
-    return headers, entries.join(headers.select("snapshot_id"), "snapshot_id", "left_semi")
+    live = Log(spark, directory).states().groupBy("snapshot_id").agg(F.max_by("operation", "generation").alias("operation")).where("operation = 'add'").select("snapshot_id")
+    read = lambda name: spark.read.parquet(f"{directory}/{name}").withColumn("snapshot_id", F.col("snapshot_id").cast("string")).join(live, "snapshot_id", "left_semi")
+    return read("headers"), read("entries")
 
 
 def replace_index(index: DataFrame, directory: str, version: str, head_before: str, head_now: str) -> str:
