@@ -309,3 +309,156 @@ def test_engine_stands_without_the_corpus_package():
     root = Path(__file__).resolve().parent.parent
     code = "import sys; sys.modules['corpus_pipeline'] = None; sys.modules['stratakit.llm'] = None; import __spark_entry__ as e; assert e.queries() and not [k for k in e.queries() if k.startswith('op') or k == 'pipeline']"
     assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
+
+
+# queries without SQL, against plain code
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain_manifest(entries, leaf_bytes):
+    """{prefix: entries} of leaves and {prefix: (entries, bytes, path bytes)} of nodes, by recursion over sorted keys."""
+    import os.path
+    import unicodedata
+
+    key = lambda p: unicodedata.normalize("NFC", unicodedata.normalize("NFC", p).lower()).encode().hex()
+    leaves, nodes = {}, {}
+
+    def cut(group):
+        common = os.path.commonprefix([key(e["path"]) for e in group])
+        common = common[:len(common) // 2 * 2]
+        if len(group) == 1 or sum(len(e["path"].encode()) + 64 for e in group) <= leaf_bytes:
+            leaves.setdefault(common, []).extend(group)
+            return
+        nodes[common] = (len(group), sum(e["size_bytes"] for e in group), sum(len(e["path"].encode()) for e in group))
+        parts = {}
+        for e in group:
+            parts.setdefault(key(e["path"])[:len(common) + 2], []).append(e)
+        for k in sorted(parts):
+            cut(parts[k])
+
+    cut(entries)
+    return leaves, nodes, key
+
+
+def test_manifest_equals_a_plain_build(spark):
+    import hashlib
+
+    from stratakit.plans.library import QUERIES
+    from stratakit.plans.registry import Bound
+
+    entries = [r.asDict() for r in Bound(spark, SF).entries_a.select("path", "size_bytes", "modified_at_utc", "object_id").collect()]
+    leaves, nodes, key = plain_manifest(entries, 4096)
+    want = set()
+    for prefix, group in leaves.items():
+        group.sort(key=lambda e: key(e["path"]))
+        text = "\n".join("\t".join(str(e[c]) for c in ("path", "size_bytes", "modified_at_utc", "object_id")) for e in group)
+        want.add((prefix, hashlib.sha256(f"leaf\n{len(text)}:{text}".encode()).hexdigest(), len(group), sum(e["size_bytes"] for e in group), sum(len(e["path"].encode()) for e in group)))
+    got = QUERIES["cas09_manifest"](spark, SF).select("prefix", "chunk_id", "entry_count", "logical_size_bytes", "path_bytes").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    made = QUERIES["cas09_manifest_nodes"](spark, SF).collect()
+    assert {(r["prefix"], r["entry_count"], r["logical_size_bytes"], r["path_bytes"]) for r in made} == {(p, *v) for p, v in nodes.items()} and len(made) == len(nodes)
+    assert manifest.build(spark.createDataFrame([], "path string, size_bytes bigint, modified_at_utc string, object_id string"))[0].count() == 0
+
+
+def test_hashed_scan_equals_the_bytes_of_all_files(spark):
+    import hashlib
+    from pathlib import Path
+
+    from stratakit.plans.library import QUERIES
+
+    want = {(f.name, f.stat().st_size, hashlib.sha256(f.read_bytes()).hexdigest()) for f in Path(SF).iterdir()}
+    assert {tuple(r) for r in QUERIES["src02_scan_hashed"](spark, SF).collect()} == want
+    assert {tuple(r) for r in QUERIES["src01_scan_files"](spark, SF).collect()} == {(n, s) for n, s, _ in want}
+
+
+def test_plan_mac_equals_a_plain_one(spark):
+    import hashlib
+    import hmac
+
+    from stratakit.plans.library import QUERIES
+    from stratakit.plans.registry import Bound
+
+    d = Bound(spark, SF)
+    todo = sorted((r.asDict() for r in plan.restore_plan(d.entries_a, d.working_b).collect()), key=lambda r: r["path"])
+    item = lambda values: "".join(f"{len(v)}:{v}" for v in ("" if v is None else str(v) for v in values))
+    folders = {}
+    for r in todo:
+        folders.setdefault(r["path"].rsplit("/", 1)[0], []).append(item(r[c] for c in plan.COLUMNS))
+    parts = [item((f, hashlib.sha256("|".join(folders[f]).encode()).hexdigest())) for f in sorted(folders)]
+    identity = hashlib.sha256("|".join(parts).encode()).hexdigest()
+    row = QUERIES["cas04_plan_mac"](spark, SF).first()
+    assert row["plan_id"] == identity and row["mac"] == hmac.new(hashlib.sha256(b"key").digest(), identity.encode(), hashlib.sha256).hexdigest()
+
+
+def plain_throttle(events, least):
+    """{(group, event)} that are shown, one event after the other."""
+    shown, state = set(), {}
+    for group, phase, t, whole, done, k in sorted(events, key=lambda e: (e[0], e[2], e[1], e[5])):
+        last = state.get(group)
+        if last is None or phase != last[0] or whole != last[1] or phase == "complete" or (whole > 0 and done >= whole) or t - last[2] >= least:
+            shown.add((group, k))
+            state[group] = (phase, whole, t)
+    return shown
+
+
+def test_throttle_measures_from_the_event_shown_last(spark):
+    import random
+
+    rng = random.Random(5)
+    steady = [("a", "scan", 50 * k, 0, 0, k) for k in range(200)]
+    mixed = [(f"g{rng.randrange(4)}", rng.choice(["scan", "scan", "scan", "store", "complete"]), rng.randrange(6000), rng.choice([0, 0, 5]), rng.randrange(7), 1000 + k) for k in range(400)]
+    events = steady + mixed
+    df = spark.createDataFrame(events, "source string, phase string, time_ms long, total long, completed long, k long")
+    got = progress.throttled(df, "source", "time_ms", "phase", "total", "completed", ["k"])
+    assert got.columns == df.columns
+    assert {(r["source"], r["k"]) for r in got.collect()} == plain_throttle(events, 80)
+    assert sorted(r["k"] for r in got.where("source = 'a'").collect()) == list(range(0, 200, 2))  # each second event, not the first alone
+    assert progress.throttled(df.limit(0), "source", "time_ms", "phase").count() == 0
+
+
+def test_stream_and_batch_throttle_agree(spark, tmp_path):
+    events = [("a", "scan", 30 * k, 10, k % 11) for k in range(60)] + [("b", "scan", 5, 0, 0), ("b", "complete", 6, 0, 0), ("b", "complete", 7, 0, 0)]
+    schema = "source string, phase string, time_ms long, total long, completed long"
+    df = spark.createDataFrame(events, schema)
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = progress.throttled_stream(stream).writeStream.format("memory").queryName("agreed").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
+    batch = progress.throttled(df, "source", "time_ms", "phase", "total", "completed")
+    assert rows(spark.table("agreed"), "source", "phase", "time_ms") == rows(batch, "source", "phase", "time_ms")
+
+
+def test_chains_of_several_heads_may_meet(spark):
+    states = spark.createDataFrame([("a", 0, None), ("b", 1, "a"), ("c", 2, "b"), ("d", 2, "b")], "state_id string, generation bigint, parent_id string")
+    got = inventory.parent_chain(states, states.where("state_id in ('c', 'd')").select("state_id"))
+    assert rows(got, "head", "state_id", "step") == [(h, s, k) for h in "cd" for s, k in (("a", 2), ("b", 1), (h, 0))]
+
+
+def test_a_large_folder_is_numbered_in_ranges(spark):
+    from stratakit.operators.common import numbered_within
+
+    many = spark.createDataFrame([("big", f"f{k:04d}") for k in range(900)] + [("x", "b"), ("x", "a"), (None, "n")], "parent string, name string")
+    got = numbered_within(many, ["parent"], [F.col("name")], "pos", start=1, size="n")
+    assert {(r["parent"], r["name"], r["pos"], r["n"]) for r in got.collect()} == {("big", f"f{k:04d}", k + 1, 900) for k in range(900)} | {("x", "a", 1, 2), ("x", "b", 2, 2), (None, "n", 1, 1)}
+    local = tree.tree_rows(spark.createDataFrame([(f"Assets/{n}", "added") for n in ("b", "A", "a", "B")], "path string, change_type string"), locale=True)
+    assert [r["name"].lower() for r in local.where("kind = 'file'").orderBy("pos_in_set").collect()] == ["a", "a", "b", "b"]
+
+
+def test_deletion_goes_on_behind_a_failure_elsewhere(spark):
+    gone = spark.createDataFrame([("l", f"{k:03d}") for k in range(200)], "location string, id string")
+
+    def delete(part):
+        if any(r.id == "100" for r in part):
+            raise OSError("stuck")
+        return len(part)
+
+    got = gc.apply_gc(gone, "p", "p", False, delete, lot=5)
+    assert not got["complete"] and got["error"] == "stuck" and 100 <= got["deleted"] <= 195
+
+
+def test_ascii_paths_do_not_reach_python(spark):
+    found = spark.createDataFrame([("Assets/A",), ("Assets/Ä",)], "p string").select(paths.portable_key(F.col("p")).alias("k"))
+    python = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "EvalPython" in x]
+    assert len(python) == 1 and "_portable(CASE WHEN NOT RLIKE(p" in python[0]
