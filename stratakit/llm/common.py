@@ -47,11 +47,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write once as Parquet below the shared folder and read again; for stages that hand over whole tables."""
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write once as Parquet below the shared folder and read again; the folder, for ``forget``."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/stratakit-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write once as Parquet below the shared folder and read again; for stages that hand over whole tables."""
+    return stored_at(df)[0]
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove a folder of ``stored_at`` that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 BATCH_BYTES = 4 << 20

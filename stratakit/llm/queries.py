@@ -13,7 +13,7 @@ from stratakit.llm.simhash import simhash_components
 
 
 def op1_sentencepiece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepieces.round_trip(table(spark, sf_dir, "documents"), sentencepieces.load(sentencepieces.DEFAULT_MODEL))
+    return sentencepieces.round_trip(table(spark, sf_dir, "documents"), sentencepieces.load(sentencepieces.model_of(spark)))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,7 @@ from stratakit.llm.common import lean
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL_SETTING = "spark.stratakit.pieces"  # a session may name another vocabulary file
 UNKNOWN_PENALTY = 10.0
 CACHED = 150_000  # chunks of text that a worker remembers
 CACHED_LENGTH = 48
@@ -267,6 +268,11 @@ def read_pieces(path: str = DEFAULT_MODEL) -> list[tuple[str, float, str]]:
     return [(own.id_to_piece(i), scores[i], kinds[i]) for i in range(own.vocab_size())]
 
 
+def model_of(spark: SparkSession) -> str:
+    """The vocabulary file that the session names, a path that the driver can read."""
+    return spark.conf.get(MODEL_SETTING, DEFAULT_MODEL)
+
+
 def load(path: str = DEFAULT_MODEL) -> Pieces:
     """Read on the driver alone; executors get the built trie by broadcast (its size is the vocabulary's)."""
     return Pieces(read_pieces(path))

@@ -31,11 +31,15 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
     starts = np.concatenate(([0], ends[:-1]))
     digest, n = xxhash.xxh64_intdigest, len(words) - shingle + 1
     pairs = zip(starts[:n].tolist(), (ends[shingle - 1:] - 1).tolist(), strict=True)
-    h = np.fromiter((digest(joined[a:b], SEED) for a, b in pairs), np.uint64, n)
+    return majority(np.fromiter((digest(joined[a:b], SEED) for a, b in pairs), np.uint64, n))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; no hash: zero."""
     ones = np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 14):  # a very long text needs no more memory than a short one
+    for k in range(0, len(h), 1 << 14):  # a very long text needs no more memory than a short one
         ones += np.unpackbits(h[k:k + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
