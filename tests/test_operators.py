@@ -11,6 +11,7 @@ from stratakit.sinks import store
 from stratakit.sources import records, scan
 from stratakit.streaming import progress
 
+# The inputs of the cases below and what must come of them.
 FILES = "path string, object_id string, size_bytes bigint, modified_at_utc string"
 SNAPSHOT = [("Assets/Foo.prefab", "one", 3, "t1"), ("Assets/Delete.me", "x", 6, "t1"), ("Assets/Same.txt", "s", 1, "t1")]
 WORKING = [("Assets/Foo.prefab", "three", 5, "t2"), ("Assets/Extra.prefab", "extra", 5, "t2"), ("Assets/Same.txt", "s", 1, "t1")]
