@@ -50,7 +50,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     return sources.select("source", "source_size", target.alias("target"), "n")
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, bucket_rows: int = 4000) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, bucket_rows: int = 1000) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, part, taken): how often the mix takes each row of ``docs``.
 
     A source's target is met by whole repetitions of all its documents and one more of a seeded part: in the
