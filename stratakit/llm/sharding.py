@@ -3,59 +3,119 @@
 from __future__ import annotations
 
 import logging
+from collections import Counter
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from stratakit.llm.common import checkpointed, numbered, running, stored, with_class
 
 
-IDLE = 3  # rounds in a row that place nothing before the rest is split
+def reserved(large: list[tuple], room: list[int]) -> tuple[list[tuple], list[tuple], list]:
+    """(link, c, votes) of the links larger than half a shard -> (link, shard, n) of wholes and of what is over; links met.
+
+    There are at most two of them for a shard. A link larger than a shard fills the empty shards that hold most of its
+    rows as long as one can be filled. Then, the largest first, each link and each rest of a link takes the shard that
+    holds most of its rows among those with room for all of it. If there is none, a rest takes the largest rooms, and
+    a link that would fit an empty shard is left to the rounds. ``room`` is brought down by all that is placed.
+    """
+    quota, empty, rests, whole, over, met = min(room), {j for j, n in enumerate(room) if n}, [], [], [], []
+    for link, c, votes in sorted(large, key=lambda x: (-x[1], x[0])):
+        held, cut = dict(votes), c > quota
+        while cut and (some := [j for j in empty if room[j] <= c]):
+            j = max(some, key=lambda j: (room[j] == c, held.get(j, 0), -j))
+            whole.append((link, j, room[j]))
+            c, room[j] = c - room[j], 0
+            empty.remove(j)
+        if cut:
+            met.append(link)
+        if c:
+            rests.append((link, c, held, cut))
+    for link, c, held, cut in sorted(rests, key=lambda x: (-x[1], x[0])):
+        if not cut and max(room) >= c:
+            met.append(link)
+        elif not cut:
+            continue
+        while c:
+            j = max(range(len(room)), key=lambda j: (min(room[j], c), held.get(j, 0), -j))
+            (over if cut else whole).append((link, j, min(room[j], c)))
+            c, room[j] = c - min(room[j], c), room[j] - min(room[j], c)
+    return whole, over, met
 
 
 def propagate(links: DataFrame, shards: int, rows: int, buckets: int = 64) -> DataFrame:
     """(link, c, votes) -> (link, shard, n): how many rows of a link each shard holds.
 
     c is a link's number of rows, votes its rows by shard, an array of (shard, n); ``rows`` the number of all rows,
-    whose even share is a shard's quota. In each round every link that is still spread asks for the shard that holds
-    most of its rows among those with room for all of it (ties: by a hash); if there is none, for one drawn by a hash,
-    in proportion to room. A shard takes links in the order of a hash while its quota lasts; the others ask again.
-    So each round fills quotas, and whole links move: none is cut to make another one fit. What fits nowhere as a
-    whole is split over the room that is left, and logged. A link is one row here, however many rows it has.
+    whose even share is a shard's quota. Links larger than a shard fill shards and reserve room for what is over, and
+    those larger than half a shard come next (``reserved``). In each round every other link asks for the shard that holds most of its rows among those with room
+    for all of it (ties: by a hash); if none of them has, for one that has, drawn by a hash in proportion to room. A
+    shard takes links in the order of a hash while its room lasts; the others ask again. The first that asks is always
+    taken, so rounds go on until each link is placed or larger than any room. Then reserved room is given back and
+    rounds go on: what is over of the largest links makes room for whole links. What fits nowhere as a whole even then
+    is split over the room that is left, and logged. A link is one row here, however many rows it has.
     """
     room = [rows // shards + (j < rows % shards) for j in range(shards)]
-    left, placed, idle, turn = checkpointed(links), [], 0, 0
-    while idle < IDLE:
+    links = checkpointed(links)
+    large = links.where(F.col("c") * 2 > rows // shards).collect()
+    whole, over, met = reserved([(bytes(r["link"]) if isinstance(r["link"], bytearray) else r["link"], r["c"], [tuple(v) for v in r["votes"]]) for r in large], room)
+    left, placed, turn, held = links.where(~F.col("link").isin(met)), [], 0, bool(over)
+    while not left.isEmpty():
         turn += 1
-        rooms, tie = F.array(*[F.lit(n) for n in room]), F.xxhash64("link", F.lit(turn))
-        fits = F.filter("votes", lambda v: F.element_at(rooms, v["shard"] + 1) >= F.col("c"))
-        best = F.array_max(F.transform(fits, lambda v: F.struct(v["n"].alias("n"), F.xxhash64("link", v["shard"]).alias("tie"), v["shard"].alias("shard"))))["shard"]
-        drawn, other, lo = F.pmod(tie, F.lit(max(1, sum(room)))), F.lit(0), 0
-        for j, n in enumerate(room):
-            other = F.when(drawn >= lo, F.lit(j)).otherwise(other) if n else other
-            lo += n
+        order = sorted(range(shards), key=lambda j: -room[j])
+        rooms, sums, tie = F.array(*[F.lit(n) for n in room]), F.array(*[F.lit(n) for n in accumulate(room[j] for j in order)]), F.xxhash64("link", F.lit(turn))
+        able = F.size(F.filter(rooms, lambda n: n >= F.col("c")))  # the first ones of ``order``
+        drawn = F.pmod(tie, F.element_at(sums, F.greatest(able, F.lit(1))))
+        other = F.when(able > 0, F.element_at(F.array(*[F.lit(j) for j in order]), F.size(F.filter(sums, lambda n: n <= drawn)) + 1))
+        near = F.filter("votes", lambda v: F.element_at(rooms, v["shard"] + 1) >= F.col("c"))
+        best = F.array_max(F.transform(near, lambda v: F.struct(v["n"].alias("n"), F.xxhash64("link", v["shard"]).alias("tie"), v["shard"].alias("shard"))))["shard"]
         asked = left.withColumn("goal", F.coalesce(best, other).cast("int"))
         asked = running(asked, ["goal"], [tie], tie, F.col("c"), "__at", buckets)
-        asked = checkpointed(asked.withColumn("__ok", F.col("__at") + F.col("c") <= F.element_at(rooms, F.col("goal") + 1)))
+        asked = checkpointed(asked.withColumn("__ok", F.coalesce(F.col("__at") + F.col("c") <= F.element_at(rooms, F.col("goal") + 1), F.lit(False))))
         taken = asked.where("__ok").groupBy("goal").agg(F.sum("c")).collect()  # at most a number for each shard
-        idle = 0 if taken else idle + 1
         for j, n in taken:
             room[j] -= n
-        placed.append(asked.where("__ok").select("link", F.col("goal").alias("shard"), F.col("c").alias("n")))
+        if taken:
+            placed.append(asked.where("__ok").select("link", F.col("goal").alias("shard"), F.col("c").alias("n")))
         left = asked.where("not __ok").select("link", "c", "votes")
-        if left.isEmpty():
-            return reduce(DataFrame.union, placed)
-    # rows at, at + 1, ... of the rest fill the room of the shards one after the other
-    tie, lo, pieces = F.xxhash64("link"), 0, []
-    rest = running(left, [], [tie], tie, F.col("c"), "__at", buckets)
-    for j, n in enumerate(room):
-        both = F.least(F.col("__at") + F.col("c"), F.lit(lo + n)) - F.greatest(F.col("__at"), F.lit(lo))
-        pieces.append(F.struct(F.lit(j).alias("shard"), both.cast("long").alias("n")))
-        lo += n
-    rest = checkpointed(rest.select("link", F.explode(F.array(*pieces)).alias("p")).select("link", "p.shard", "p.n").where("n > 0"))
-    logging.getLogger(__name__).info("%d rows are in links that fit into no shard as a whole", rest.agg(F.sum("n")).first()[0])
-    return reduce(DataFrame.union, [*placed, rest])
+        if not taken and not held:
+            break
+        if not taken:
+            held = False
+            for _, j, n in over:
+                room[j] += n
+    if not left.isEmpty():
+        # rows at, at + 1, ... of the rest fill the room of the shards one after the other
+        tie, lo, pieces = F.xxhash64("link"), 0, []
+        rest = running(left, [], [tie], tie, F.col("c"), "__at", buckets)
+        for j, n in enumerate(room):
+            both = F.least(F.col("__at") + F.col("c"), F.lit(lo + n)) - F.greatest(F.col("__at"), F.lit(lo))
+            pieces.append(F.struct(F.lit(j).alias("shard"), both.cast("long").alias("n")))
+            lo += n
+        rest = checkpointed(rest.select("link", F.explode(F.array(*pieces)).alias("p")).select("link", "p.shard", "p.n").where("n > 0"))
+        spread = dict(tuple(r) for r in rest.groupBy("shard").agg(F.sum("n")).collect())
+        room = [n - spread.get(j, 0) for j, n in enumerate(room)]
+        logging.getLogger(__name__).info("%d rows are in links that fit into no shard as a whole", sum(spread.values()))
+        placed.append(rest)
+    if over and not held:  # their room was given back: each keeps what is left of it and fills the largest rooms
+        again = []
+        for link, j, n in over:
+            again.append((link, j, min(n, room[j])))
+            room[j] -= again[-1][2]
+        for (link, _, n), (_, _, kept) in zip(over, list(again), strict=True):
+            while n > kept:
+                j = max(range(shards), key=lambda j: room[j])
+                again.append((link, j, min(room[j], n - kept)))
+                kept, room[j] = kept + again[-1][2], room[j] - again[-1][2]
+        over = again
+    first = Counter()
+    for link, j, n in whole + over:
+        first[link, j] += n
+    shape = StructType([StructField("link", links.schema["link"].dataType), StructField("shard", IntegerType()), StructField("n", LongType())])
+    return reduce(DataFrame.union, placed, links.sparkSession.createDataFrame([(link, j, n) for (link, j), n in first.items() if n], shape))
 
 
 def cut_edges(placed: DataFrame) -> DataFrame:
@@ -70,15 +130,15 @@ def placed_rows(rows: DataFrame, shards: int, bucket_rows: int = 20_000) -> Data
     """(id, link, ...) -> the same rows with ``shard``; counts of the shards differ by one at most.
 
     ``id`` is different for each row, and a hash of it gives the shard where the row starts; rows with the same
-    ``link`` are neighbours, null has none. Links of one row are
-    none, and links larger than a shard could not be together anyway: their rows make room like rows without a link.
+    ``link`` are neighbours, null has none. Links of one row are none. A link larger than a shard fills whole shards,
+    and what is over of it stays together unless whole links need its room (``propagate``).
     """
     total = rows.count()
     buckets = max(16, -(-total // bucket_rows))
     start = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
     votes = rows.where("link is not null").groupBy("link", start).agg(F.count(F.lit(1)).alias("n"))
     links = votes.groupBy("link").agg(F.sum("n").alias("c"), F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("votes"))  # a vote for each shard
-    held = propagate(links.where(F.col("c").between(2, total // shards)), shards, total, buckets)
+    held = propagate(links.where("c > 1"), shards, total, buckets)
     used = [0] * shards
     for j, n in held.groupBy("shard").agg(F.sum("n")).collect():
         used[j] = n

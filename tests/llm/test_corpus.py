@@ -329,6 +329,45 @@ def test_cut_edges_against_plain_propagation(spark, kind):
         assert cut(fits, [got[k] for k in range(len(links))]) == 0
 
 
+@pytest.mark.parametrize("sizes", [[400], [450, 230], [151, 150, 150], [600, 599], [7], [1200], [155, 155, 155, 155, 155, 155, 155]])
+def test_links_larger_than_a_shard_fill_shards(spark, sizes):
+    """They take as few shards as they can beside the others, and links that fit stay whole."""
+    shards, total, rng = 8, 1201 if sum(sizes) > 7 else 9, np.random.default_rng(7)
+    links = [f"big{k}" for k, n in enumerate(sizes) for _ in range(n)]
+    links += [f"g{(total - k) // 3}" if k % 2 else None for k in range(len(links), total)]
+    links = [links[k] for k in rng.permutation(total)]
+    placed = sharding.placed_rows(spark.createDataFrame(list(enumerate(links)), "id long, link string"), shards, bucket_rows=100)
+    got = {r["id"]: r["shard"] for r in placed.collect()}
+    assert sorted(got) == list(range(total))
+    counts = Counter(got.values())
+    assert max(counts.values()) - (min(counts.values()) if len(counts) == shards else 0) <= 1
+    held = defaultdict(Counter)
+    for k, x in enumerate(links):
+        if x:
+            held[x][got[k]] += 1
+    quota = total // shards
+    for x, n in Counter(x for x in links if x).items():
+        if n <= quota:
+            assert len(held[x]) == 1
+        else:  # whole shards, and the rest of it together
+            least = -(-n // (quota + 1))
+            assert least <= len(held[x]) <= -(-n // max(1, quota)) + (len(sizes) > 2)
+
+
+def test_copies_of_a_text_larger_than_a_shard_fill_shards(spark):
+    rows = [(k, "the same" if k < 100 else f"pair {k // 2}" if k < 200 else f"single {k}") for k in range(320)]
+    got = rows_of(sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=8))
+    assert Counter(r["shard"] for r in got) == Counter({j: 40 for j in range(8)})
+    assert sorted(Counter(r["shard"] for r in got if r["doc_id"] < 100).values()) == [20, 40, 40]
+
+
+def test_a_link_that_fits_one_shard_alone_is_not_split(spark):
+    """Room for it is in one of many shards; draws that miss it must not end the rounds."""
+    links = spark.createDataFrame([(f"f{j}", 37, [(j, 37)]) for j in range(1, 32)] + [("last", 38, [(1, 38)])] + [(f"t{j}", 2, [(j, 2)]) for j in range(1, 32)], "link string, c long, votes array<struct<shard:int,n:long>>")
+    got = sharding.propagate(links, 32, 40 * 32).collect()
+    assert Counter(r["link"] for r in got) == Counter({f"f{j}": 1 for j in range(1, 32)} | {"last": 1} | {f"t{j}": 1 for j in range(1, 32)})
+
+
 def test_laws_of_shards_in_sql(spark, sf):
     placed = QUERIES["op5_label_propagation_sharding"](spark, sf).toPandas()
     con = duckdb.connect()
