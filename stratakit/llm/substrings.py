@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -131,15 +132,15 @@ def unplaned(raw: bytes, kind: str, n: int, at: int) -> tuple[np.ndarray, int]:
     return np.ascontiguousarray(flat.T).view(kind).reshape(n), at + n * size
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, settled, size = struct.unpack_from("<III", raw)
     doc, at = unplaned(raw, "<i8", n, 12)
     tag, at = unplaned(raw, "<i4", n, at)
     place, at = unplaned(raw, "<i4", n, at)
     done, at = unplaned(raw, "<i8", 4 * settled, at)
-    body = raw[len(raw) - size:]
-    return np.cumsum(doc), tag.astype(np.int64), place, done.reshape(-1, 4), body.split(b"\n") if n else []
+    body = np.frombuffer(raw, np.uint8, size, len(raw) - size)
+    return np.cumsum(doc), tag.astype(np.int64), place, done.reshape(-1, 4), body
 
 
 def _scatter(batches: Iterator[pa.RecordBatch], window: int, m: int, buckets: int, frequent: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
@@ -193,53 +194,101 @@ def _scatter(batches: Iterator[pa.RecordBatch], window: int, m: int, buckets: in
         yield flush()
 
 
+SLICE = 1 << 19  # bytes whose words are hashed at once
+LONG = 4096  # bytes beyond which two windows are compared as strings
+
+
+@cache
+def powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each byte, the powers of an odd number up to SLICE, and those of its inverse, all modulo 2^64."""
+    base = MIX[1]
+    up = lambda x: np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(SLICE, x, np.uint64))))
+    return np.random.default_rng(13).integers(0, 1 << 64, 256, np.uint64), up(base), up(pow(base, -1, 1 << 64))
+
+
+def word_hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each word, the same wherever the word lies: differences of running sums, no word by word."""
+    each, power, inverse = powers()
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        base = int(start[i])
+        j = int(np.searchsorted(end, base + SLICE, "right"))
+        if j <= i:  # one word longer than a slice
+            out[i] = xxhash.xxh64_intdigest(body[base:end[i]].tobytes())
+            i += 1
+            continue
+        sums = np.zeros(int(end[j - 1]) - base + 1, np.uint64)
+        np.cumsum(each[body[base:end[j - 1]]] * power[:len(sums) - 1], out=sums[1:])
+        at = start[i:j] - base
+        out[i:j] = (sums[end[i:j] - base] - sums[at]) * inverse[at]
+        i = j
+    return out
+
+
+def same_bytes(body: np.ndarray, left: np.ndarray, right: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes at left and right are equal; ``body`` has 8 bytes to spare at its end."""
+    eight = np.ndarray((len(body) - 7,), "<u8", body, strides=(1,))
+    same, live, k = np.ones(len(left), bool), np.flatnonzero(size <= LONG), 0
+    for i in np.flatnonzero(size > LONG).tolist():
+        a, b, n = int(left[i]), int(right[i]), int(size[i])
+        same[i] = np.array_equal(body[a:a + n], body[b:b + n])
+    while len(live):
+        over = np.maximum(8 - (size[live] - k), 0).astype(np.uint64) * np.uint64(8)  # bits beyond the end
+        same[live] = ((eight[left[live] + k] ^ eight[right[live] + k]) << over) == 0
+        k += 8
+        live = live[same[live] & (size[live] > k)]
+    return same
+
+
 def _later_windows(blobs: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     """(doc, tag, from, to) of windows whose words also start in a smaller document.
 
-    Words become numbers, equal only for equal words; windows are sorted by a hash of their numbers, and equal
-    neighbours are compared number by number, so that each set of equal windows is exact.
+    Windows are sorted by a hash of their words, and equal neighbours are compared byte by byte (words are joined by
+    one space), so that each set of equal windows is exact.
     """
-    ids: dict[bytes, int] = {}
-    number = ids.setdefault
-    codes, docs, tags, ats, offset, done, rows = [], [], [], [], [], [], 0
+    bodies, docs, tags, ats, offset, done, rows = [], [], [], [], [], [], 0
     for blob in blobs:
-        doc, tag, at, settled, text = unpack(blob)
+        doc, tag, at, settled, body = unpack(blob)
         done.append(settled)
         if not len(doc):
             continue
-        parts = [x.split(b" ") for x in text]
-        length = np.fromiter(map(len, parts), np.int64, len(parts))
-        code = np.fromiter((number(w, len(ids)) for p in parts for w in p), np.int32, int(length.sum()))
-        begin = np.concatenate(([0], np.cumsum(length)[:-1]))
+        gaps = np.flatnonzero((body == 32) | (body == 10))
+        last = np.append(np.flatnonzero(body[gaps] == 10), len(gaps))  # of each string's words
+        length = np.diff(last, prepend=-1)
+        begin = last - length + 1
         many = length - window + 1
         within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        codes.append(code)
+        bodies.append((body, gaps))
         offset.append(np.repeat(begin, many) + within + rows)
-        rows += len(code)
+        rows += len(gaps) + 1
         docs.append(np.repeat(doc, many))
         tags.append(np.repeat(tag, many))
         ats.append((np.repeat(at, many) + within).astype(np.int32))
     done = np.concatenate(done) if done else np.zeros((0, 4), np.int64)
-    if not codes:
+    if not bodies:
         return done[:, 0], done[:, 1], done[:, 2], done[:, 3]
-    code, at_code, doc, tag, at = (np.concatenate(x) for x in (codes, offset, docs, tags, ats))
-    del codes, offset, docs, tags, ats
-    h = rolled((code.astype(np.uint64) + np.uint64(1)) * np.uint64(MIX[2]), window)[at_code]
+    shift = np.cumsum([0] + [len(x) + 1 for x, _ in bodies])
+    end = np.concatenate([np.append(gaps, len(x)) + k for (x, gaps), k in zip(bodies, shift, strict=False)])
+    body = np.frombuffer(b"\n".join([*(x for x, _ in bodies), bytes(8)]), np.uint8)
+    start = np.concatenate(([0], end[:-1] + 1))
+    at_word, doc, tag, at = (np.concatenate(x) for x in (offset, docs, tags, ats))
+    del bodies, offset, docs, tags, ats
+    first, size = start[at_word], end[at_word + window - 1] - start[at_word]
+    h = rolled(word_hashes(body, start, end) * np.uint64(MIX[2]), window)[at_word]
     order = np.lexsort((doc, h))
     hs = h[order]
     alike = hs[1:] == hs[:-1]
-    left, right = at_code[order[:-1][alike]], at_code[order[1:][alike]]
-    same = np.ones(len(left), bool)
-    for k in range(window):
-        same &= code[left + k] == code[right + k]
+    left, right = order[:-1][alike], order[1:][alike]
+    same = size[left] == size[right]
+    same[same] = same_bytes(body, first[left][same], first[right][same], size[left][same])
     if not same.all():  # two different windows with one hash: sort by the words themselves
-        order = np.lexsort((doc, *(code[at_code + k] for k in range(window))))
-        alike = np.ones(len(order) - 1, bool)
-        for k in range(window):
-            alike &= code[at_code[order[1:]] + k] == code[at_code[order[:-1]] + k]
+        ids: dict[bytes, int] = {}
+        exact = np.array([ids.setdefault(body[a:a + n].tobytes(), len(ids)) for a, n in zip(first.tolist(), size.tolist(), strict=True)])
+        order = np.lexsort((doc, exact))
+        alike = exact[order[1:]] == exact[order[:-1]]
     group = np.concatenate(([0], np.cumsum(~alike)))
-    first = np.flatnonzero(np.concatenate(([True], ~alike)))
-    later = doc[order] > doc[order][first][group]  # sorted by document inside a group
+    head = np.flatnonzero(np.concatenate(([True], ~alike)))
+    later = doc[order] > doc[order][head][group]  # sorted by document inside a group
     hit = order[later]
     return np.concatenate((doc[hit], done[:, 0])), np.concatenate((tag[hit], done[:, 1])), np.concatenate((at[hit].astype(np.int64), done[:, 2])), np.concatenate((at[hit].astype(np.int64) + 1, done[:, 3]))
 

@@ -114,6 +114,36 @@ def test_colliding_window_hashes_are_told_apart(monkeypatch):
     assert (doc.tolist(), a.tolist(), b.tolist()) == ([3], [1], [2])
 
 
+@pytest.mark.parametrize("long", [3, 5000])
+def test_windows_of_a_bucket_without_word_objects(monkeypatch, long):
+    """Hashes from running sums are those of the words, slice by slice; windows of short and of very long words are exact."""
+    monkeypatch.setattr(substrings, "SLICE", 4096)
+    substrings.powers.cache_clear()
+    rng, buckets, texts = np.random.default_rng(3), [], []
+    names = [b"x" * k + bytes([97 + k % 7]) for k in (*range(9), long)]
+    for _ in range(4):
+        bucket = substrings._Bucket()
+        for _ in range(20):
+            text = b" ".join(names[k] for k in rng.integers(0, len(names), int(rng.integers(2, 30))))
+            bucket.doc.append(len(texts) % 50)
+            bucket.tag.append(len(texts))
+            bucket.at.append(0)
+            bucket.text.append(text)
+            texts.append((len(texts) % 50, len(texts), text.split()))
+        buckets.append(bucket.pack())
+    body = np.frombuffer(b" ".join(names * 3) + bytes(8), np.uint8)
+    end = np.append(np.flatnonzero(body[:-8] == 32), len(body) - 8)
+    h = substrings.word_hashes(body, np.append(0, end[:-1] + 1), end)
+    assert len(set(h.tolist())) == len(set(names)) and (h.reshape(3, -1) == h[:len(names)]).all()
+    first = {}
+    for d, _, w in texts:
+        for k in range(len(w) - 1):
+            first[tuple(w[k:k + 2])] = min(d, first.get(tuple(w[k:k + 2]), d))
+    doc, tag, a, _ = substrings._later_windows(buckets, 2)
+    assert sorted(zip(tag.tolist(), a.tolist(), strict=True)) == sorted((t, k) for d, t, w in texts for k in range(len(w) - 1) if first[tuple(w[k:k + 2])] < d)
+    substrings.powers.cache_clear()
+
+
 def test_a_sequence_in_most_documents_makes_no_hot_bucket(spark):
     """Every document says one three-word sequence over and over, between words of its own."""
     rng = np.random.default_rng(12)
