@@ -25,8 +25,9 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (Jaccard 0.8 of five words) stays: the one with the smallest doc_id.
 
-    MinHash bands give candidates, since SimHash fingerprints at this similarity differ in too many bits for
-    vantage-point trees (README), and exact shingle sets verify. Of rows that share that doc_id one stays, by a hash
+    Candidates are all pairs of SimHash fingerprints at 4 bits or fewer, from vantage-point trees, and, since most
+    pairs at this similarity differ in more bits than such trees can prune (README), pairs that meet in MinHash
+    bands. Exact shingle sets verify. Of rows that share that doc_id one stays, by a hash
     of its text; rows without doc_id stay.
     """
     return near_dedup(docs)

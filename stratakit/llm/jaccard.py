@@ -1,4 +1,4 @@
-"""Near-dedup by Jaccard similarity: MinHash bands retrieve candidates, exact shingle sets verify them."""
+"""Near-dedup by SimHash in vantage-point trees; MinHash bands add what differs in more bits, exact shingle sets verify all."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from stratakit.llm.common import checkpointed, kept_rows, lean, with_class
 from stratakit.llm.components import Forest, connected_components
 from stratakit.llm.licenses import bands_for
+from stratakit.llm.simhash import majority, near_keys
 
 SEED = 43
 ROWS, SURE = 6, 0.9999  # of a band; probability that two texts at the least similarity meet in one
@@ -158,11 +159,14 @@ def candidate_links(banded: DataFrame, texts: DataFrame, least: float, shingle:
     return found.union(checkpointed(verified(blocks(checkpointed(owned.select("key", "node")), crowd.select("key", "node")))))
 
 
-def jaccard_components(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
+def jaccard_components(docs: DataFrame, least: float = 0.8, shingle: int = 5, bits: int = 4) -> DataFrame:
     """(doc_id, component_id) for each row of ``docs``; component_id is the smallest doc_id reachable by links.
 
     Texts link if the Jaccard similarity of their sets of ``shingle`` words in small letters is ``least`` or more.
-    A pair at ``least`` becomes a candidate with a probability of SURE, a closer one almost surely. Verification is exact (on 64-bit shingle hashes). Texts of equal words form a class, represented by its smallest doc_id; only
+    Candidates are all pairs whose SimHash fingerprints (of the same sets) differ in ``bits`` bits or fewer, as
+    vantage-point trees find them; and, since most pairs at ``least`` differ in more bits than such trees can prune,
+    those that meet in a MinHash band: a pair at ``least`` does with a probability of SURE, a closer one almost
+    surely. Verification is exact (on 64-bit shingle hashes). Texts of equal words form a class, represented by its smallest doc_id; only
     classes are searched. Texts without a word are one class and link with nothing else. A doc_id with two texts
     joins their classes. Null doc_id: the row gets its class's component (null if the class has no doc_id at all).
     Columns of ``docs`` other than doc_id and text are not read.
@@ -172,21 +176,24 @@ def jaccard_components(docs: DataFrame, least: float = 0.8, shingle: int = 5) ->
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, keys = [], []
+            digests, prints, keys = [], [], []
             for x in batch.column(1):
                 words = plain(x.as_py())
                 h = shingle_set(words, shingle)
                 digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                prints.append(majority(h))
                 keys.append(sketch.keys(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "keys"])
+            signed = pa.array(np.array(prints, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), signed, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "fp", "keys"])
 
-    sketches = checkpointed(rows.mapInArrow(sketched, "doc_id long, digest binary, keys array<long>"))
+    sketches = checkpointed(rows.mapInArrow(sketched, "doc_id long, digest binary, fp long, keys array<long>"))
     total = sketches.count()
     named = sketches.where("doc_id is not null")
     classes = checkpointed(named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")))
     # any row of the class has its keys; the one that stands for it is read
-    own = named.join(classes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "keys")
-    banded = checkpointed(own.select("node", F.explode("keys").alias("key")))
+    own = named.join(classes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi").where("size(keys) > 0").select(F.col("doc_id").alias("node"), "fp", "keys")
+    points = checkpointed(own.select("node", "fp").distinct())
+    banded = checkpointed(own.select("node", F.explode("keys").alias("key")).union(near_keys(points, bits)))
     found = candidate_links(banded, rows.withColumnRenamed("doc_id", "node"), least, shingle)
     shared = named.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
     several = named.join(shared, "doc_id", "left_semi").select("digest", F.col("doc_id").alias("a"))
@@ -196,9 +203,11 @@ def jaccard_components(docs: DataFrame, least: float = 0.8, shingle: int = 5) ->
     return with_class(sketches.select("doc_id", "digest"), whole, ["digest"], "n", total, ["component_id"]).select("doc_id", "component_id")
 
 
-def near_dedup(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
-    """The rows of ``docs``, one for each component: the one with the smallest doc_id. Rows without doc_id stay.
+def near_dedup(docs: DataFrame, least: float = 0.8, shingle: int = 5, bits: int = 4) -> DataFrame:
+    """SimHash near-dedup, completed by MinHash bands and verified by Jaccard similarity (``jaccard_components``).
+
+    The rows of ``docs``, one for each component: the one with the smallest doc_id. Rows without doc_id stay.
 
     Of rows that share that doc_id, the one whose text has the smallest hash stays (see ``kept_rows``).
     """
-    return kept_rows(docs, jaccard_components(docs.select("doc_id", "text"), least, shingle))
+    return kept_rows(docs, jaccard_components(docs.select("doc_id", "text"), least, shingle, bits))

@@ -154,8 +154,45 @@ def _shard_edges(shard: pa.Table, bits: int) -> pa.Table:
     return pa.table({"a": pa.array(node[keep], pa.int64()), "b": pa.array(node[root[keep]], pa.int64())})
 
 
-def near_edges(classes: DataFrame, bits: int, sample: int = 8192, shard_rows: int = 40_000) -> DataFrame:
-    """(node, fp), fingerprints distinct -> (a, b): edges that connect exactly the fingerprints linked by ``bits``.
+CROWD = 64  # neighbours beyond which a point shares a key with the points around it
+
+
+def _shard_keys(shard: pa.Table, bits: int) -> pa.Table:
+    """(node, key): every pair of one home and one asked point at ``bits`` or fewer differing bits shares a key.
+
+    A key is a home point's node: it and its neighbours with larger nodes. Points with over CROWD neighbours are
+    covered by few of them instead: one takes all within ``bits`` of it along, and what is within twice that, so has
+    all their neighbours, gets its key. So a dense group needs no row for each pair.
+    """
+    node, fp, home = (shard.column(k).to_numpy() for k in ("node", "fp", "home"))
+    code, at_home = fp.view(np.uint64), np.flatnonzero(home.astype(bool))
+    degree, some = np.zeros(len(at_home), np.int64), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for i, j in close_pairs(code[at_home], code, bits):
+        other = at_home[i] != j
+        i, j = i[other], j[other]
+        np.add.at(degree, i, 1)
+        few = (degree[i] <= CROWD) & (node[j] > node[at_home[i]])
+        some.append((i[few], j[few]))
+    i, j = (np.concatenate(x) for x in zip(*some, strict=True))
+    few = degree[i] <= CROWD
+    i, j = at_home[i[few]], j[few]
+    centre = np.unique(i)
+    rows = [(node[centre], node[centre]), (node[j], node[i])]
+    crowd = np.flatnonzero(degree > CROWD)
+    crowd, left = at_home[crowd[np.argsort(-degree[crowd], kind="stable")]], np.zeros(len(node), bool)
+    left[crowd] = True
+    for c in crowd.tolist():
+        if left[c]:
+            d = np.bitwise_count(code ^ code[c])
+            left[d <= bits] = False
+            met = node[d <= 2 * bits]
+            rows.append((met, np.full(len(met), node[c])))
+    out = [np.concatenate(x) for x in zip(*rows, strict=True)]
+    return pa.table({"node": pa.array(out[0], pa.int64()), "key": pa.array(out[1], pa.int64())})
+
+
+def in_shards(classes: DataFrame, bits: int, sample: int = 8192, shard_rows: int = 40_000) -> DataFrame:
+    """(node, fp), fingerprints distinct -> (node, fp, shard, home): each in its own shard and in all that its ball overlaps.
 
     The upper VP tree is fitted on ``sample`` fingerprints (bounded, and only its balance depends on them);
     every fingerprint is indexed in one shard and asked in all shards that its ball overlaps.
@@ -171,8 +208,28 @@ def near_edges(classes: DataFrame, bits: int, sample: int = 8192, shard_rows: in
             node = batch.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(fp[at]), pa.array(shard, pa.int32()), pa.array(home)], ["node", "fp", "shard", "home"])
 
-    dealt = classes.select("node", "fp").mapInArrow(deal, "node long, fp long, shard int, home boolean")
-    return dealt.groupBy("shard").applyInArrow(lambda t: _shard_edges(t, bits), "a long, b long")
+    return classes.select("node", "fp").mapInArrow(deal, "node long, fp long, shard int, home boolean")
+
+
+def near_edges(classes: DataFrame, bits: int, sample: int = 8192, shard_rows: int = 40_000) -> DataFrame:
+    """(node, fp), fingerprints distinct -> (a, b): edges that connect exactly the fingerprints linked by ``bits``."""
+    return in_shards(classes, bits, sample, shard_rows).groupBy("shard").applyInArrow(lambda t: _shard_edges(t, bits), "a long, b long")
+
+
+def near_keys(points: DataFrame, bits: int, sample: int = 8192, shard_rows: int = 40_000) -> DataFrame:
+    """(node, fp) -> (node, key): every two nodes whose fingerprints differ in ``bits`` bits or fewer share a key; exact.
+
+    Others may share one too (``_shard_keys``), so keys give candidates. A fingerprint of many nodes is one point.
+    """
+    total = points.count()
+    if not total:
+        return points.select("node", F.lit(0).cast("long").alias("key")).limit(0)
+    prints = checkpointed(points.groupBy("fp").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")))
+    found = in_shards(prints.select(F.col("lead").alias("node"), "fp"), bits, sample, shard_rows).groupBy("shard").applyInArrow(lambda t: _shard_keys(t, bits), "node long, key long")
+    found = found.union(prints.where("n > 1").select("lead", "lead")).groupBy("node").agg(F.collect_set("key").alias("keys"))
+    named = checkpointed(prints.join(found, F.col("lead") == F.col("node")).select("fp", "n", "keys"))
+    met = with_class(points.select("node", "fp"), named, ["fp"], "n", total, ["keys"])
+    return met.select("node", F.explode("keys").alias("key")).select("node", F.xxhash64(F.lit("simhash"), "key").alias("key"))
 
 
 def simhash_components(docs: DataFrame, bits: int = 4, shingle: int = 4, shard_rows: int = 40_000) -> DataFrame:
